@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat_format, exact_dedup, mixing, packing, quality, token_files, toxicity
+from tidewater.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_pack_sequences": packing.op9_pack_sequences,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
