@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality, token_files, toxicity
+from tidewater.llm import chat_format, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,

@@ -314,9 +314,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return asked.mapInPandas(run, schema("doc_id string, score double")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "score")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score is below ``threshold``, with their columns."""
-    model = fit_toxicity(docs, labels)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, training: DataFrame | None = None) -> DataFrame:
+    """The documents whose score is below ``threshold``, with their columns.
+
+    ``training`` has the labelled texts, if ``docs`` hasn't.
+    """
+    model = fit_toxicity(docs if training is None else training, labels)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.margins, model.bias, model.slopes, model.shift, model.prior, model.floor))
 
