@@ -39,7 +39,7 @@ TOP = 3
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 DIM = 8
-MAX_PER_CLASS = 2500
+MAX_PER_CLASS = 1500
 MAX_CHARS = 40_000
 #: Training rounds; each takes as many hard and as many other clean segments at most.
 ROUNDS = 4
@@ -129,44 +129,71 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
 
-def _train(ids, owners, labels, weights, start, rng, epochs: int, rate: float):
-    """Joint AdaGrad steps on embeddings and softmax over segments (CSR by ``owners``)."""
-    table, soft, bias, memory = start
-    n = len(labels)
-    bounds = np.searchsorted(owners, np.arange(n + 1))
-    share = weights
+class _Bags:
+    """Segments as word numbers, words as n-gram buckets; only a batch is ever spelt out."""
+
+    def __init__(self, vocabulary: list[str], segments: list[list[int]]):
+        grams, counts = [], []
+        for k in range(0, len(vocabulary), 20_000):
+            ids, owners = gram_ids(vocabulary[k : k + 20_000])
+            grams.append(ids[np.argsort(owners, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(owners, minlength=min(20_000, len(vocabulary) - k)))
+        self.grams = np.concatenate(grams)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        self.sizes = np.array([len(s) for s in segments])
+        self.words = np.array([w for s in segments for w in s], np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.n = len(segments)
+
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of these words, and each one's place in ``words``."""
+        counts = self.at[words + 1] - self.at[words]
+        owner = np.repeat(np.arange(len(words)), counts)
+        inner = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        return self.grams[self.at[words][owner] + inner], owner
+
+    def margins(self, table: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Every segment's margin."""
+        u = table @ (soft[:, 1] - soft[:, 0])
+        per_word = np.add.reduceat(u[self.grams], self.at[:-1]) / np.diff(self.at)
+        return np.add.reduceat(per_word[self.words], self.begin[:-1]) / np.maximum(self.sizes, LEAST_WORDS) + (bias[1] - bias[0])
+
+
+def _train(bags: _Bags, pick: np.ndarray, labels: np.ndarray, state, rng, epochs: int, rate: float):
+    """Joint AdaGrad steps on embeddings and softmax over the segments in ``pick``."""
+    table, soft, bias, memory = state
     for _ in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, 2048):
-            pick = order[at : at + 2048]
-            sizes = bounds[pick + 1] - bounds[pick]
-            seg = np.repeat(np.arange(len(pick)), sizes)
-            place = np.repeat(bounds[pick] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            g, w = ids[place], share[place]
-            bags = np.stack([np.bincount(seg, w * table[g, d], len(pick)) for d in range(DIM)], 1)
-            logits = bags @ soft + bias
+        order = rng.permutation(pick)
+        for at in range(0, len(order), 2048):
+            batch = order[at : at + 2048]
+            sizes = bags.sizes[batch]
+            seg = np.repeat(np.arange(len(batch)), sizes)
+            place = np.repeat(bags.begin[batch] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            words, which = np.unique(bags.words[place], return_inverse=True)
+            grams, owner = bags.grams_of(words)
+            per = np.bincount(owner, minlength=len(words)).astype(float)
+            share = 1.0 / np.maximum(sizes, LEAST_WORDS)[seg]
+            vectors = np.stack([np.bincount(owner, table[grams, d], len(words)) for d in range(DIM)], 1) / per[:, None]
+            bag = np.stack([np.bincount(seg, share * vectors[which, d], len(batch)) for d in range(DIM)], 1)
+            logits = bag @ soft + bias
             logits -= logits.max(1, keepdims=True)
             p = np.exp(logits)
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), labels[pick]] -= 1
-            p /= len(pick)
+            p[np.arange(len(batch)), labels[batch]] -= 1
+            p /= len(batch)
             back = p @ soft.T
-            used, where = np.unique(g, return_inverse=True)
-            grad = np.stack([np.bincount(where, w * back[seg, d], len(used)) for d in range(DIM)], 1)
+            of_word = np.stack([np.bincount(which, share * back[seg, d], len(words)) for d in range(DIM)], 1) / per[:, None]
+            used, where = np.unique(grams, return_inverse=True)
+            grad = np.stack([np.bincount(where, of_word[owner, d], len(used)) for d in range(DIM)], 1)
             memory[0][used] += (grad**2).sum(1)
             table[used] -= rate * grad / np.sqrt(memory[0][used] + 1e-10)[:, None]
-            step = bags.T @ p
+            step = bag.T @ p
             memory[1] += step**2
             soft -= 0.1 * rate * step / np.sqrt(memory[1] + 1e-10)
             bias -= 0.1 * rate * p.sum(0)
     return table, soft, bias, memory
 
 
-def _margin_of_segments(ids, owners, share, table, soft, bias, n):
-    u = table @ (soft[:, 1] - soft[:, 0])
-    return np.bincount(owners, share * u[ids], n) + (bias[1] - bias[0])
-
-
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Newton steps with a small ridge; no slope is negative."""
     use = list(range(z.shape[1]))
@@ -206,11 +233,6 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
     place = {w: i for i, w in enumerate(vocabulary)}
     if not vocabulary:
         return Model(None, 0.0, None, 0.0, prior)
-    g, o = gram_ids(vocabulary)
-    rank = np.argsort(o, kind="stable")
-    g, o = g[rank], o[rank]
-    at = np.searchsorted(o, np.arange(len(vocabulary) + 1))
-
     seg_words, seg_label, seg_doc = [], [], []
     for i, words in enumerate(split):
         if not held[i]:
@@ -218,20 +240,15 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
                 seg_words.append([place[w] for w in words[k : k + SEGMENT]])
                 seg_label.append(y[i])
                 seg_doc.append(i)
+    if not seg_words:
+        return Model(None, 0.0, None, 0.0, prior)
     seg_label, seg_doc = np.array(seg_label), np.array(seg_doc)
-    flat = np.array([w for s in seg_words for w in s])
-    sizes = np.array([len(s) for s in seg_words])
-    of_seg = np.repeat(np.arange(len(seg_words)), sizes)
-    grams = at[flat + 1] - at[flat]
-    owners = np.repeat(of_seg, grams)
-    inner = np.repeat(at[flat] - np.concatenate([[0], np.cumsum(grams)[:-1]]), grams) + np.arange(grams.sum())
-    ids = g[inner]
-    share = np.repeat(1.0 / (np.maximum(grams, 1) * np.maximum(sizes, LEAST_WORDS)[of_seg]), grams)
-
+    bags = _Bags(vocabulary, seg_words)
     # Start from each n-gram's log odds over documents, then train jointly.
-    doc_gram = np.unique(seg_doc[owners].astype(np.int64) * BUCKETS + ids)
-    toxic = y[doc_gram // BUCKETS] == 1
-    seen = [np.bincount(doc_gram[toxic == k] % BUCKETS, minlength=BUCKETS) for k in (False, True)]
+    seen = np.zeros((2, BUCKETS))
+    for i, words in enumerate(split):
+        if words and not held[i]:
+            seen[y[i], np.unique(bags.grams_of(np.array([place[w] for w in words]))[0])] += 1
     docs_of = [max(1, int((y[~held] == k).sum())) for k in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (docs_of[1] + 1)) - np.log((seen[0] + 0.5) / (docs_of[0] + 1))
     doubt = 2 * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))  # two standard errors
@@ -242,8 +259,10 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
     state = (table, soft, np.zeros(2), [np.zeros(BUCKETS), np.zeros((DIM, 2))])
     n = len(seg_label)
     clean = np.flatnonzero(seg_label == 0)
+    if not len(clean) or len(clean) == n:
+        return Model(None, 0.0, None, 0.0, prior)
     for k in range(ROUNDS):
-        z = _margin_of_segments(ids, owners, share, *state[:3], n)
+        z = bags.margins(*state[:3])
         bar = np.quantile(z[clean], 0.998)
         hard = clean[np.argsort(-z[clean], kind="stable")[:CLEAN_SEGMENTS]]
         others = rng.choice(clean, min(len(clean), CLEAN_SEGMENTS), replace=False)
@@ -257,10 +276,7 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
             rank = np.empty(n, np.int64)
             rank[order] = np.arange(n) - first
             chosen[(seg_label == 1) & ((z > bar) | (rank < LEADERS))] = True
-        pick = np.flatnonzero(chosen)
-        keep = chosen[owners]
-        renumber = np.cumsum(chosen) - 1
-        state = _train(ids[keep], renumber[owners[keep]], seg_label[pick], share[keep], state, rng, 2 if k == 0 else 1, 0.5)
+        state = _train(bags, np.flatnonzero(chosen), seg_label, state, rng, 2 if k == 0 else 1, 0.5)
     table, soft, bias, _ = state
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), None, 0.0, prior)
     proof = np.flatnonzero(held) if held.any() else np.arange(len(texts))
