@@ -123,5 +123,26 @@ def spread_prefix(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     )
 
 
+def rows_with_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str, least_words: int = 1 << 16, most_words: int = 1 << 20) -> DataFrame:
+    """``df`` left semi ``ids``, without moving the rows that cannot match.
+
+    The ids set bits in a table of at most ``most_words`` 64-bit words (16 MB,
+    whatever the input's size), which is broadcast; only rows that hit a bit go
+    on to the exact join. With more ids than bits the filter lets more through
+    and the join remains exact.
+    """
+    words = least_words
+    n = ids.count()
+    while words < most_words and words * 16 < n:
+        words *= 2
+    mixed = lambda c: F.xxhash64(F.col(c), F.lit(0xB1F))
+    word = lambda c: F.pmod(mixed(c), F.lit(words)).cast("int")
+    bit = lambda c: F.pmod(F.shiftright(mixed(c), 24), F.lit(64)).cast("int")
+    bits = ids.groupBy(word(id_column).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(id_column))).alias("__bits"))
+    hit = F.call_function("shiftright", F.col("__bits"), bit(column)).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    near = df.join(F.broadcast(bits), word(column) == F.col("__word")).where(hit).drop("__word", "__bits")
+    return near.join(ids.select(F.col(id_column).alias("__tw_id")), F.col(column) == F.col("__tw_id"), "left_semi")
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)

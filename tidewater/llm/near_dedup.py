@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.base import materialise, read, schema, ship
+from tidewater.llm.base import materialise, read, rows_with_ids, schema, ship
 from tidewater.llm.components import connected
 from tidewater.llm.shingles import BANDS, REGISTERS, ROWS, estimate, jaccard_reaches, registers, shingle_sets
 from tidewater.llm.tokens import batches
@@ -81,7 +81,7 @@ def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             out = [(i, s.tobytes()) for i, s in _sets_of(frame)]
             yield pd.DataFrame(out, columns=["doc_id", "shingles"])
 
-    own = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    own = rows_with_ids(docs.select("doc_id", "text"), "doc_id", ids, "rep")
     made = _asked(own).mapInPandas(run, schema("doc_id string, shingles binary"))
     return made.select(F.col("doc_id").cast("bigint").alias("rep"), "shingles")
 
@@ -199,7 +199,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     stars = known.select("key", "rep").join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialise(_estimated(stars, classes), "near-stars")
 
-    ends = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ends = materialise(stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ends")
     sets = materialise(shingles_of(docs, ends), "near-sets")
     links = materialise(_confirmed(stars.where(F.col("est") >= CANDIDATE), sets), "near-links")
 

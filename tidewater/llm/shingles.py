@@ -110,7 +110,6 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     same = a.shape[1] - more - less
     u = na / (na + nb)
     v = 1 - u
-    # In the set sketch J is the shared part of the union; the two differences get u' = (1 - share of nb) etc.
     top = np.minimum(u / v, v / u)
 
     def chance(x):
