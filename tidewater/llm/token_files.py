@@ -207,7 +207,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     dealt = own.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     # As strings: pandas would turn ids into floats where one of them is null.
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return [r.asDict() for r in dealt.mapInPandas(write, schema(MANIFEST)).orderBy("part").collect()]
+    # Sorted here: a sort in Spark would sample, and so run, the writing twice.
+    return sorted((r.asDict() for r in dealt.mapInPandas(write, schema(MANIFEST)).collect()), key=lambda m: m["part"])
 
 
 TOKENS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
