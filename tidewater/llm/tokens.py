@@ -36,12 +36,23 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self._for_plain_words(path)
         self.blank_joins = blank_joins
         self.cache_pieces = cache_pieces
         self.cache: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    @staticmethod
+    def _for_plain_words(path: str):
+        """The same merges without normalizing and splitting, which leave a lower-case Latin-1 word as it is."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return plain
+
+    def _raw(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        found = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
     def _unsafe(self, text: str) -> bool:
@@ -67,9 +78,19 @@ class PieceEncoder:
                 wanted.update(ends[w])
             else:
                 wanted.add(w)
-        keys = list(wanted.difference(cache))
+        wanted.difference_update(cache)
+        words = {k for k in wanted if k.isalpha() and max(k) < "\u0100"}
+        keys = list(wanted - words)
         asked = [k[1:] if k[:1] == "\0" else " " + k for k in keys] if joins else keys
         cache.update(zip(keys, self._raw(asked), strict=True))
+        if joins:
+            keys = list(words)
+            cache.update(zip(keys, self._raw([" " + k for k in keys], plain=True), strict=True))
+        else:  # this vocabulary lower-cases
+            lower = {k: k.lower() for k in words}
+            keys = list(set(lower.values()).difference(cache))
+            cache.update(zip(keys, self._raw(keys, plain=True), strict=True))
+            cache.update({k: cache[v] for k, v in lower.items()})
         cache.update({w: cache[a] + cache[b] for w, (a, b) in ends.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
