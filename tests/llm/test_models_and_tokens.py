@@ -46,6 +46,16 @@ def test_toxicity_without_labels(documents, none, spark):
     assert toxicity.score_toxicity(none, model).collect() == []
 
 
+def test_toxicity_fit_takes_2500_of_each_class(spark, monkeypatch):
+    n = 10_000  # three quarters of them are learned from
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS int) AS toxic")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, prior: taken.extend(y))
+    toxicity.fit_toxicity(docs, labels)
+    assert Counter(taken) == {0: 2500, 1: 2500}
+
+
 def test_toxicity_held_out(spark, documents, sf_dir, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(documents, labels)
