@@ -13,6 +13,13 @@ def test_query(spark, sf_dir, duck, key):
     check(catalog.QUERIES[key](spark, sf_dir), duck, catalog.ORACLES[key])
 
 
+def test_full_join_takes_whole_tables(spark, sf_dir):
+    rows = catalog.QUERIES["join_full_tables"](spark, sf_dir).collect()
+    for column, table in (("c_custkey", "customer"), ("o_orderkey", "orders")):
+        keys = {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(column).collect()}
+        assert {r[column] for r in rows} == keys | {None}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

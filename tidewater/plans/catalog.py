@@ -65,6 +65,7 @@ _q("join_inner", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN cus
 _q("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
 _q("join_right", "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'")
 _q("join_full", "SELECT s.s_suppkey, p.p_partkey FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 60) s FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 30 AND 90) p ON s.s_suppkey = p.p_partkey")
+_q("join_full_tables", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 AND o.o_totalprice > 150000")
 _q("join_theta", "SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey AND n.n_nationkey % 5 <> r.r_regionkey")
 _q("join_cross", "SELECT n.n_name, r.r_name FROM nation n CROSS JOIN region r")
 _q("join_comma", "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
