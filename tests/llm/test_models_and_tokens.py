@@ -46,6 +46,15 @@ def test_toxicity_without_labels(documents, none, spark):
     assert toxicity.score_toxicity(none, model).collect() == []
 
 
+def test_toxicity_looks_at_repeated_words():
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0, None, 0.0, 0.1, (-9.0,) * toxicity.TOP)
+    bad = [f"bad{k}" for k in range(toxicity.SEGMENT)]
+    model.cache = {"fine": -1.0, **dict.fromkeys(bad, 1.0)}
+    early = [f"{w} " + "fine " * (toxicity.SEGMENT - 1) for w in bad]
+    late, repeated = [model.top_margins(toxicity.words_of(t)) for t in ["".join(early) + " ".join(bad), "bad0 " * toxicity.SEGMENT * toxicity.TOP]]
+    assert late[0] == 1.0 and repeated.tolist() == [1.0] * toxicity.TOP
+
+
 def test_toxicity_fit_takes_2500_of_each_class(spark, monkeypatch):
     n = 10_000  # three quarters of them are learned from
     docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id) AS text")

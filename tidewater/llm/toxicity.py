@@ -1,7 +1,7 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
 A word is the bag of itself and its byte 3- to 6-grams, a segment the average of
-``SEGMENT`` distinct words of the text in order, and a linear softmax on that average says how toxic the
+``SEGMENT`` words of the text in a row, and a linear softmax on that average says how toxic the
 segment is. Embeddings and softmax are trained jointly in numpy, so a spelling
 that never occurred shares the vectors of its character n-grams. Labels are
 per document; training first gives every segment its document's label, then
@@ -13,8 +13,9 @@ weighted to the class shares of the label table. Every segment of the whole
 text is looked at.
 
 The fit uses a bounded sample: at most ``MAX_PER_CLASS`` labelled documents of
-each class (in a hash order), of at most ``MAX_CHARS`` characters each. Scoring
-is linear in a word's n-grams, so a word costs one cached number per worker.
+each class (in a hash order), of at most ``MAX_CHARS`` characters each, and takes
+equal segments of a document once. Scoring is linear in a word's n-grams, so a
+word costs one cached number per worker.
 
 Defined cases: null or blank text has no segment and gets the score of a typical
 clean document; without labels of both classes every score is the share
@@ -47,6 +48,7 @@ LEADERS = 2
 CLEAN_SEGMENTS = 20_000
 CALIBRATION_SHARE = 4  # one labelled document in so many calibrates
 CACHE_WORDS = 1_000_000
+TEXTS_AT_ONCE = 64  # texts that are held as words at a time
 THRESHOLD = 0.3
 EDGES = ".,;:!?#$%&*|<>\"'()[]{}-_"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -77,8 +79,8 @@ def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    """The distinct words of the whole text, in order; repeating a word adds nothing."""
-    return list(dict.fromkeys(text.lower().split()))
+    """The words of the whole text, in order, as often as they occur."""
+    return text.lower().split()
 
 
 @dataclass
@@ -120,19 +122,23 @@ class Model:
             top[: len(margins)] = margins
         return top
 
+    def tops(self, texts: list[str]) -> list[np.ndarray]:
+        split = [words_of(t) for t in texts]
+        self.learn(split)
+        return [self.top_margins(w) for w in split]
+
     def scores(self, texts: list[str]) -> list[float]:
         if self.margins is None:
             return [self.prior] * len(texts)
-        split = [words_of(t) for t in texts]
-        self.learn(split)
-        z = np.stack([self.top_margins(w) for w in split]) @ self.slopes + self.shift if split else np.zeros(0)
+        tops = [top for at in range(0, len(texts), TEXTS_AT_ONCE) for top in self.tops(texts[at : at + TEXTS_AT_ONCE])]
+        z = np.stack(tops) @ self.slopes + self.shift if tops else np.zeros(0)
         return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
 
 class _Bags:
     """Segments as word numbers, words as n-gram buckets; only a batch is ever spelt out."""
 
-    def __init__(self, vocabulary: list[str], segments: list[list[int]]):
+    def __init__(self, vocabulary: list[str], segments: list[tuple[int, ...]]):
         grams, counts = [], []
         for k in range(0, len(vocabulary), 20_000):
             ids, owners = gram_ids(vocabulary[k : k + 20_000])
@@ -224,20 +230,20 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
     if len(set(labels)) < 2:
         return Model(None, 0.0, None, 0.0, prior)
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
     held = np.arange(len(texts)) % CALIBRATION_SHARE == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(texts), bool)
 
-    vocabulary = sorted({w for words in split for w in words})
+    vocabulary = sorted({w for t in texts for w in words_of(t)})
     place = {w: i for i, w in enumerate(vocabulary)}
+    split = [np.array([place[w] for w in words_of(t)], np.int32) for t in texts]
     if not vocabulary:
         return Model(None, 0.0, None, 0.0, prior)
     seg_words, seg_label, seg_doc = [], [], []
     for i, words in enumerate(split):
         if not held[i]:
-            for k in range(0, len(words), SEGMENT):
-                seg_words.append([place[w] for w in words[k : k + SEGMENT]])
+            for segment in dict.fromkeys(tuple(words[k : k + SEGMENT].tolist()) for k in range(0, len(words), SEGMENT)):
+                seg_words.append(segment)
                 seg_label.append(y[i])
                 seg_doc.append(i)
     if not seg_words:
@@ -247,8 +253,8 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
     # Start from each n-gram's log odds over documents, then train jointly.
     seen = np.zeros((2, BUCKETS))
     for i, words in enumerate(split):
-        if words and not held[i]:
-            seen[y[i], np.unique(bags.grams_of(np.array([place[w] for w in words]))[0])] += 1
+        if len(words) and not held[i]:
+            seen[y[i], np.unique(bags.grams_of(np.unique(words))[0])] += 1
     docs_of = [max(1, int((y[~held] == k).sum())) for k in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (docs_of[1] + 1)) - np.log((seen[0] + 0.5) / (docs_of[0] + 1))
     doubt = 2 * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))  # two standard errors
@@ -280,11 +286,10 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
     table, soft, bias, _ = state
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), None, 0.0, prior)
     proof = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    model.learn([split[i] for i in proof])
-    full = [i for i in proof if y[i] == 0 and len(split[i]) > TOP * SEGMENT]
+    full = [top for i in proof if y[i] == 0 and len(split[i]) > TOP * SEGMENT for top in model.tops([texts[i]])]
     if full:
-        model.floor = tuple(np.median([model.top_margins(split[i]) for i in full], 0).tolist())
-    z = np.stack([model.top_margins(split[i]) for i in proof])
+        model.floor = tuple(np.median(full, 0).tolist())
+    z = np.stack([top for i in proof for top in model.tops([texts[i]])])
     yy = y[proof].astype(float)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(yy == 1, prior / max(yy.mean(), 1e-9), (1 - prior) / max(1 - yy.mean(), 1e-9))
