@@ -131,6 +131,14 @@ def test_near_odd(odd, none):
     assert left.columns == odd.columns and [r.doc_id for r in left.collect()].count(1) == 1
 
 
+def test_near_copies_of_texts_that_share_an_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (3, b + " more"), (7, c), (7, d), (7, c), (9, d + " more"), (10, c + " more"), (None, a), (None, a)]
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(5, a), (3, b + " more"), (7, c), (7, d), (None, a), (None, a)])
+
+
 def test_components_chain(spark):
     edges = [(0, k, k + 1) for k in range(60)] + [(1, k, k + 2) for k in range(0, 40, 2)] + [(1, 101, 100)]
     found = components.connected(spark.createDataFrame(edges, "kind int, a bigint, b bigint")).collect()

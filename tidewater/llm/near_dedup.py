@@ -227,11 +227,28 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, with its columns; repeated rows of an id give one."""
-    kept = near_components(docs).where("kept").select(F.col("doc_id").alias("__tw_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__tw_id")), "left_semi").withColumn("__tw_nth", nth)
-    return left.where("__tw_nth = 1 OR doc_id IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The document with the smallest doc_id of each group of near duplicates, with its columns.
+
+    Repeated rows of an id and its text give one; another text under the same
+    id is a document of its own.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__tw_id")).agg(F.min(digest).alias("__tw_first"), F.max(digest).alias("__tw_last"))
+    several = materialise(texts.where("__tw_first <> __tw_last").select("__tw_id", "__tw_first"), "near-several")
+    named = docs.withColumn("__tw_own", F.col("doc_id"))
+    if several.take(1):
+        # An id's other texts get ids from 2^62 on: a hash, so unlike others' but for about one in 2^62 pairs.
+        other = F.xxhash64("doc_id", digest).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        own = F.when(F.col("__tw_first").isNull() | (digest == F.col("__tw_first")), F.col("doc_id")).otherwise(other)
+        named = docs.join(several, F.col("doc_id") == F.col("__tw_id"), "left").withColumn("__tw_own", own)
+        named = materialise(named.drop("__tw_id", "__tw_first"), "near-named")
+    found = near_components(named.select(F.col("__tw_own").alias("doc_id"), "text")).where("doc_id IS NOT NULL")
+    ids = named.where("doc_id IS NOT NULL").select(F.col("__tw_own").alias("own"), F.col("doc_id").alias("id")).distinct()
+    groups = found.select(F.col("doc_id").alias("own"), "component_id").distinct().join(ids, "own").groupBy("component_id")
+    kept = groups.agg(F.min(F.struct("id", "own"))["own"].alias("__tw_kept"))
+    nth = F.row_number().over(Window.partitionBy("__tw_own").orderBy(F.lit(1)))
+    left = named.join(kept, F.col("__tw_own") == F.col("__tw_kept"), "left").where("__tw_kept IS NOT NULL OR doc_id IS NULL")
+    return left.withColumn("__tw_nth", nth).where("__tw_nth = 1 OR doc_id IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
