@@ -121,6 +121,13 @@ def test_html_labelling_is_consistent_and_accurate():
     assert good >= 48
 
 
+def test_html_features_of_many_siblings():
+    nodes = html_extract.parse("<body><div>" + "<p>some text</p>" * 60 + "<article>more</article></div></body>")
+    stat = html_extract.features(nodes)[:, html_extract._FIRST_STAT :]
+    found = [(n.tag, *s[[8, 9, 14]].tolist()) for n, s in zip(nodes, stat, strict=True) if n.tag in ("p", "article")]
+    assert found == [("p", k, 61, 1) for k in range(60)] + [("article", 60, 61, 0)]
+
+
 # -- tokens -----------------------------------------------------------------------
 
 

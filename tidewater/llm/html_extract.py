@@ -193,6 +193,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         sums[at[id(nodes[i].parent)]] += sums[i]
     page = sums[0] + 1e-9
     depth = np.zeros(n)
+    place = {id(child): k for node in nodes for k, child in enumerate(node.children)}
+    articles = [sum(child.tag == "article" for child in node.children) for node in nodes]
     stat = x[:, _FIRST_STAT:]
     for i, node in enumerate(nodes):
         if node.tag in _TAG_AT:
@@ -205,11 +207,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             inherited = slice(len(TAGS) + len(TOKENS), _FIRST_TAG)
             x[i, inherited] = np.maximum(x[up, inherited], x[up, len(TAGS) : len(TAGS) + len(TOKENS)])
             x[i, _FIRST_TAG:_FIRST_STAT] = np.maximum(x[up, _FIRST_TAG:_FIRST_STAT], x[up, : len(TAGS)])
-            siblings = node.parent.children
-            place = siblings.index(node) if len(siblings) < 50 else 0
             above = sums[up]
-            stat[i, 8:14] = place, len(siblings), sums[i, 0] / (above[0] + 1), above[1] / (above[0] + 1), above[4], above[0] / page[0]
-            stat[i, 14] = max((x[at[id(s)], _TAG_AT["article"]] for s in siblings[:50] if s is not node), default=0)
+            stat[i, 8:14] = place[id(node)], len(node.parent.children), sums[i, 0] / (above[0] + 1), above[1] / (above[0] + 1), above[4], above[0] / page[0]
+            stat[i, 14] = articles[up] > (node.tag == "article")
         chars, links, words, stops, paragraphs, blocks = sums[i]
         stat[i, :8] = np.log1p(chars), links / (chars + 1), stops / (words + 1), paragraphs, blocks, chars / blocks, chars / page[0], np.log1p(own[i, 0])
         stat[i, 15] = depth[i]
