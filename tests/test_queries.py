@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tests.conftest import check
+from tests.conftest import check, plain
 from tidewater.plans import catalog
 
 
@@ -20,6 +20,13 @@ def test_full_join_takes_whole_tables(spark, sf_dir):
         assert {r[column] for r in rows} == keys | {None}
 
 
+@pytest.mark.parametrize(("key", "table"), [("order_by_all", "customer"), ("order_nulls_all", "nation"), ("orderby_subquery_all", "nation")])
+def test_whole_table_in_order(spark, sf_dir, duck, key, table):
+    rows = catalog.QUERIES[key](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    assert [[plain(v) for v in r] for r in rows] == [[plain(v) for v in r] for r in duck.execute(catalog.ORACLES[key]).fetchall()]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

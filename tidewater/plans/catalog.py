@@ -93,6 +93,7 @@ _q("scalar_nonequi", "SELECT r_regionkey, (SELECT count(*) FROM nation n WHERE n
 _q("exists_or", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P') OR c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 _q("exists_flag", "SELECT p_partkey, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49) AS hit FROM part p")
 _q("orderby_subquery", "SELECT n_nationkey, n_name FROM nation n ORDER BY (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) DESC, n_nationkey LIMIT 10")
+_q("orderby_subquery_all", "SELECT n_nationkey, n_name FROM nation n ORDER BY (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) DESC, n_nationkey")
 _q("having_subquery", "SELECT o_custkey, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > (SELECT 15 * avg(o_totalprice) FROM orders)")
 _q("in_topn", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25)")
 _q("in_grouped", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 18)")
@@ -134,6 +135,8 @@ _q("win_percent", "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_m
 # Order and limits.
 _q("order_by", "SELECT c_custkey, c_name AS who FROM customer ORDER BY c_nationkey DESC, 2, c_custkey LIMIT 40")
 _q("order_nulls", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC, n_nationkey LIMIT 9", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC NULLS FIRST, n_nationkey LIMIT 9")
+_q("order_by_all", "SELECT c_custkey, c_name AS who FROM customer ORDER BY c_nationkey DESC, 2, c_custkey")
+_q("order_nulls_all", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC, n_nationkey", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC NULLS FIRST, n_nationkey")
 _q("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 30")
 _q("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 5 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 _q("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
