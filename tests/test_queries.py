@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.conftest import check, plain
+from tidewater.operators import relational
 from tidewater.plans import catalog
 
 
@@ -27,6 +28,13 @@ def test_whole_table_in_order(spark, sf_dir, duck, key, table):
     assert [[plain(v) for v in r] for r in rows] == [[plain(v) for v in r] for r in duck.execute(catalog.ORACLES[key]).fetchall()]
 
 
+@pytest.mark.parametrize(("broken", "column"), [("lineitem", "share"), ("(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)", "inside")])
+def test_sample_cases_find_broken_samplers(spark, sf_dir, broken, column):
+    sql = relational.SAMPLE_CASES.replace("lineitem TABLESAMPLE BERNOULLI (10)", broken)
+    found = {r.percent: r[column] for r in catalog.run_statement(spark, sf_dir, sql).collect()}
+    assert found == {0: True, 10: False, 100: True}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -146,6 +146,21 @@ def _table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_statement(spark, sf_dir, "SELECT count(*) >= 0 AS ok FROM lineitem TABLESAMPLE BERNOULLI (10)")
 
 
+#: Whether a sample of a percentage has about that share of the rows, and no row that the table hasn't or oftener than it has.
+SAMPLE_CASES = " UNION ALL ".join(
+    f"SELECT {p} AS percent, (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI ({p})) BETWEEN n * {low} AND n * {high} AS share, "
+    f"(SELECT count(*) FROM (SELECT * FROM lineitem TABLESAMPLE BERNOULLI ({p}) EXCEPT ALL SELECT * FROM lineitem) AS strays) = 0 AS inside "
+    "FROM (SELECT count(*) AS n FROM lineitem) AS whole"
+    for p, low, high in ((0, 0, 0), (10, 0.05, 0.15), (100, 1, 1))
+)
+
+
+def _table_sample_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.plans.catalog import run_statement
+
+    return run_statement(spark, sf_dir, SAMPLE_CASES)
+
+
 QUERIES = {
     "win_exclude_current": _win_exclude_current,
     "range_join": _range_join,
@@ -154,6 +169,7 @@ QUERIES = {
     "single_row_guard": _single_row,
     "grouped_limit": _grouped_limit,
     "table_sample": _table_sample,
+    "table_sample_cases": _table_sample_cases,
 }
 ORACLES = {
     "win_exclude_current": """
@@ -167,4 +183,5 @@ SELECT c.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type = 'clic
     "single_row_guard": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey",
     "grouped_limit": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 2",
     "table_sample": "SELECT true AS ok",
+    "table_sample_cases": "SELECT * FROM (VALUES (0, true, true), (10, true, true), (100, true, true)) AS t(percent, share, inside)",
 }
