@@ -10,10 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import html_extract, packing, token_files, toxicity
-from tidewater.llm.tokens import PieceEncoder
+from tidewater.llm.tokens import PieceEncoder, slices
 
 tokenizers = pytest.importorskip("tokenizers")
 ODD_TEXTS = ["", " ", "a  b", " a b", "a b ", "a\n b", "a \nb", "a\n\nb c's don't", "<|endoftext|> x", "\0a b", "a b", "é é ́x", "İ ΑΣ Σ", "x\x1c y", "a,, b. c!!' it's", "ab\0 \0. c.", "ﬁ ½ º", "STRASSE Straße"]
@@ -131,15 +132,52 @@ def test_html_features_of_many_siblings():
 # -- tokens -----------------------------------------------------------------------
 
 
+def encoded(encoder, texts):
+    ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def whole(plain, texts):
+    return [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_slices_cover_all_texts():
+    texts = pa.array(["a" * n for n in (3, 0, 50, 2, 2, 7, 200, 0)])
+    assert list(slices(texts, 10)) == [(0, 2), (2, 3), (3, 5), (5, 6), (6, 7), (7, 8)] and list(slices(texts[:0], 10)) == []
+
+
 @pytest.mark.parametrize(("path", "joins"), [(token_files.default_vocabulary(), True), (packing.default_vocabulary(), False)])
 def test_pieces_equal_whole_texts(documents, path, joins):
     texts = [r.text for r in documents.collect()] + ODD_TEXTS
     plain = tokenizers.Tokenizer.from_file(path)
-    encoder = PieceEncoder(path, joins, cache_pieces=2000)
+    encoder = PieceEncoder(path, joins, most=2000)
     for at in range(0, len(texts), 40):
-        part = texts[at : at + 40]
-        want = [np.asarray(e.ids, "<u4").tobytes() for e in plain.encode_batch(part, add_special_tokens=False)]
-        assert encoder.encode(part) == want
+        assert encoded(encoder, texts[at : at + 40]) == whole(plain, texts[at : at + 40])
+
+
+@pytest.mark.parametrize(("path", "joins"), [(token_files.default_vocabulary(), True), (packing.default_vocabulary(), False)])
+def test_every_character_alone_and_beside_punctuation(path, joins):
+    """U+0001 to U+2FFF alone, inside words, and before and after punctuation, blanks and line ends."""
+    plain, encoder = tokenizers.Tokenizer.from_file(path), PieceEncoder(path, joins, most=20_000)
+    shapes = ["{0}", "ab{0}", "{0}ab", "ab{0}, cd", "ab {0}.", "ab,{0}cd", "GEL{0}, gitti!", "ab\n{0}\ncd", "a{0} {0}b", "x\n\n{0}.\n\ny"]
+    chars = [chr(c) for c in range(1, 0x3000)]
+    for shape in shapes:
+        for at in range(0, len(chars), 4000):
+            texts = [shape.format(c) for c in chars[at : at + 4000]]
+            got, want = encoded(encoder, texts), whole(plain, texts)
+            assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+@pytest.mark.parametrize(("path", "joins"), [(token_files.default_vocabulary(), True), (packing.default_vocabulary(), False)])
+def test_mixed_scripts_and_spaces(path, joins):
+    rng = random.Random(8)
+    parts = ["the", "GELDİ", "Straße", "naïve", "ŉ", "слово", "Σίσυφος", "漢字", "e\u0301", "\u0301", "it's", "don't", "42", "x1", "—", "...", "a.b", "\u0130"]
+    gaps = [" ", " ", " ", "\n", "\n\n", "  ", "\t", " \n", "\n ", "\r\n", "\u00a0", "\u2003", "\x1c", "\n\n\n", "\0", ""]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", ",", ".", "!?", "'s"]) + rng.choice(gaps) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    plain, encoder = tokenizers.Tokenizer.from_file(path), PieceEncoder(path, joins, most=300)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert [t for t, a, b in zip(part, encoded(encoder, part), whole(plain, part), strict=True) if a != b] == []
 
 
 def test_token_file_format():
@@ -172,9 +210,11 @@ def test_token_file_format():
 def test_token_files(spark, odd, none, tmp_path):
     path = token_files.default_vocabulary()
     plain = tokenizers.Tokenizer.from_file(path)
-    manifest = token_files.write_token_files(odd, path, f"file://{tmp_path}", shards=3)
+    manifest = token_files.write_token_files(odd, path, f"file://{tmp_path}", shards=3, file_tokens=40)
+    assert len(manifest) > 5 and sum(m["n_docs"] for m in manifest) == odd.count()
     found = token_files.read_token_files(spark, manifest).collect()
-    rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    coded = odd.selectExpr("doc_id", "coalesce(text, '') AS text").selectExpr("doc_id", "text", "xxhash64(text) AS h")
+    rows = [r[:2] for r in sorted((tuple(r) for r in coded.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))]
     at, want = 0, []
     for doc_id, text in rows:
         ids = np.asarray([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")

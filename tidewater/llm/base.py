@@ -19,6 +19,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,8 +44,11 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver found it.
 
     The package goes through Spark's own file service, once per application.
+    Documents are long rows, so Arrow batches are held to ``BATCH_ROWS`` of them.
     """
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     if getattr(context, "_tidewater_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

@@ -23,7 +23,6 @@ other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm.base import materialise, read, schema, ship, spread_prefix
-from tidewater.llm.tokens import batches, encoder
+from tidewater.llm.tokens import encoder, slices, with_endings
 
 CAPACITY = 4096
 END_ID = 1
@@ -49,25 +48,29 @@ def default_vocabulary() -> str:
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document: whole if it fits, else cut every ``capacity`` tokens."""
     ship(docs.sparkSession)
-    ending = struct.pack("<I", end_id)
 
     def cut(parts):
-        import pandas as pd
-
-        for frame in parts:
-            ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
-            out = []
-            for a, b in batches(texts):
-                for doc_id, found in zip(ids[a:b], encoder(vocabulary, False).encode(texts[a:b]), strict=True):
-                    found += ending
-                    for k, at in enumerate(range(0, len(found), 4 * capacity)):
-                        piece = found[at : at + 4 * capacity]
-                        out.append((None if doc_id is None else int(doc_id), k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield rows.astype({"doc_id": "Int64", "piece": "int32"})
-
-    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInPandas(cut, schema(PIECES))
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in parts:
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                found, bounds = with_endings(*encoder(vocabulary, False).encode(texts.slice(a, b - a)), end_id)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[owner] - start)
+                at = bounds[:-1][owner] + start
+                raw = memoryview(found.tobytes())
+                checks = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [ids.take(pa.array(owner + a)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.mapInArrow(cut, schema(PIECES))
 
 
 class _Bins:

@@ -13,18 +13,21 @@ index, and then decompresses only the frames of the documents it wants; every
 frame is checked against its checksum.
 
 Documents are range-partitioned and sorted by id, and each partition becomes
-one file in the shared folder. A task attempt writes to a name of its own; only
+one or more files in the shared folder, of ``FILE_TOKENS`` tokens and the last
+document's rest at most: a file's index stays small. A task attempt writes to a name of its own; only
 the names of successful attempts reach the manifest, so lost executors leave at
 most unused files behind.
 
 Defined cases: null text counts as empty; a null doc_id sorts first; rows that
-repeat an id are separate documents, ordered by text; an empty table gives no
-files; other columns are ignored. A document's ids are in one frame whatever
-their number.
+repeat an id are separate documents, ordered by a hash of the text and then the
+text; an empty table gives no files; other columns are ignored. A document's ids
+are in one frame whatever their number, so a very long text is held whole by
+the one task that writes it, and by the one that reads it.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -33,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.base import fresh_path, read, schema, ship, shuffle_parts
-from tidewater.llm.tokens import batches, encoder
+from tidewater.llm.tokens import encoder, slices, with_endings
 
 FRAME_TOKENS = 1 << 16
+#: A file ends with the document that reaches this many tokens.
+FILE_TOKENS = 1 << 26
 END_ID = 2
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
@@ -57,17 +62,19 @@ class TokenFileWriter:
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
         self.held: list[bytes] = []
         self.size = 0
+        self.tokens = 0
         self.table: list[tuple[int, int, int]] = []
         self.ids: list[int | None] = []
         self.counts: list[int] = []
         self.frames: list[int] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(ids) // 4)
         self.frames.append(len(self.table))
         self.held.append(ids)
         self.size += len(ids)
+        self.tokens += len(ids) // 4
         if self.size >= self.frame_bytes:
             self._flush()
 
@@ -150,16 +157,22 @@ class TokenFileReader:
         skip = 4 * int(self.starts_tokens[row] - self.starts_tokens[first])
         return self.frame(k)[skip : skip + 4 * int(self.counts[row])]
 
-    def documents(self):
-        """All (doc_id, ids), frame by frame."""
+    def frames_of_documents(self):
+        """Each frame's list of (doc_id, ids)."""
         row, n = 0, len(self.counts)
         while row < n:
-            k, at, plain = int(self.frames[row]), 0, self.frame(int(self.frames[row]))
+            k, at, plain, rows = int(self.frames[row]), 0, self.frame(int(self.frames[row])), []
             while row < n and int(self.frames[row]) == k:
                 size = 4 * int(self.counts[row])
-                yield (None if self.null[row] else int(self.doc_ids[row])), plain[at : at + size]
+                rows.append((None if self.null[row] else int(self.doc_ids[row]), plain[at : at + size]))
                 at += size
                 row += 1
+            yield rows
+
+    def documents(self):
+        """All (doc_id, ids), frame by frame."""
+        for rows in self.frames_of_documents():
+            yield from rows
 
 
 def open_file(path: str, mode: str):
@@ -172,73 +185,83 @@ def open_file(path: str, mode: str):
     return system.open_input_file(inner)
 
 
-MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint"
+MANIFEST = "part int, file int, path string, n_docs bigint, n_tokens bigint"
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, shards: int | None = None) -> list[dict]:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, shards: int | None = None, file_tokens: int = FILE_TOKENS) -> list[dict]:
     """Tokenize and write; one manifest entry per file, in ascending document order."""
     ship(docs.sparkSession)
     shards = shards or shuffle_parts(docs.sparkSession)
-    ending = struct.pack("<I", end_id)
 
     def write(parts):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.tok"
-        sink, writer, tokens = None, None, 0
-        for frame in parts:
-            ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
-            for a, b in batches(texts):
-                if sink is None:
-                    sink = open_file(path, "w")
-                    writer = TokenFileWriter(sink)
-                for doc_id, found in zip(ids[a:b], encoder(vocabulary, True).encode(texts[a:b]), strict=True):
-                    writer.add(None if doc_id is None else int(doc_id), found + ending)
-                    tokens += len(found) // 4 + 1
-        if sink is not None:
+        done = {"part": [], "file": [], "path": [], "n_docs": [], "n_tokens": []}
+        sink, writer, path = None, None, ""
+
+        def close():
             writer.close()
             sink.close()
-            import pandas as pd
-
-            yield pd.DataFrame({"part": [part], "path": [path], "n_docs": [len(writer.ids)], "n_tokens": [tokens]})
-
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = own.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    # As strings: pandas would turn ids into floats where one of them is null.
-    dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+            for name, x in zip(done, (part, len(done["file"]), path, len(writer.ids), sum(writer.counts)), strict=True):
+                done[name].append(x)
+
+        for batch in parts:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(texts):
+                found, bounds = with_endings(*encoder(vocabulary, True).encode(texts.slice(a, b - a)), end_id)
+                raw, bounds = memoryview(found.tobytes()), (4 * bounds).tolist()
+                for k, doc_id in enumerate(ids[a:b]):
+                    if sink is None:
+                        path = f"{folder}/{part:06d}-{len(done['file']):04d}-{uuid.uuid4().hex}.tok"
+                        sink = open_file(path, "w")
+                        writer = TokenFileWriter(sink)
+                    writer.add(doc_id, raw[bounds[k] : bounds[k + 1]])
+                    if writer.tokens >= file_tokens:
+                        close()
+                        sink = None
+        if sink is not None:
+            close()
+        if done["file"]:
+            yield pa.RecordBatch.from_pydict(done, pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows that share an id are dealt by their texts, so that one id's rows needn't meet in one task.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = own.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
     # Sorted here: a sort in Spark would sample, and so run, the writing twice.
-    return sorted((r.asDict() for r in dealt.mapInPandas(write, schema(MANIFEST)).collect()), key=lambda m: m["part"])
+    return sorted((r.asDict() for r in dealt.mapInArrow(write, schema(MANIFEST)).collect()), key=lambda m: (m["part"], m["file"]))
 
 
 TOKENS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def read_token_files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files; a task reads a file frame by frame."""
     if not manifest:
         return spark.createDataFrame([], schema(TOKENS))
     ship(spark)
-    paths, starts, total = [], [], 0
+    files, total = [], 0
     for m in manifest:
-        paths.append(m["path"])
-        starts.append(total)
+        files.append((m["path"], total))
         total += m["n_tokens"]
 
     def load(parts):
-        import pandas as pd
-
-        for frame in parts:
-            for k in frame["id"].tolist():
-                with open_file(paths[k], "r") as source:
-                    at, out = starts[k], []
-                    for doc_id, ids in TokenFileReader(source).documents():
-                        out.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
-                        at += len(ids) // 4
-                    rows = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                    yield rows.astype({"doc_id": "Int64"})
-
-    return spark.range(0, len(paths), 1, len(paths)).mapInPandas(load, schema(TOKENS))
+        import pyarrow as pa
+
+        for batch in parts:
+            for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_file(path, "r") as source:
+                    for rows in TokenFileReader(source).frames_of_documents():
+                        sizes = [len(ids) // 4 for _, ids in rows]
+                        starts = list(itertools.accumulate(sizes, initial=at))
+                        at = starts.pop()
+                        columns = [[i for i, _ in rows], starts, sizes, [zlib.crc32(ids) for _, ids in rows]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    listed = spark.createDataFrame(files, schema("path string, start bigint"))
+    return listed.repartition(len(files)).mapInArrow(load, schema(TOKENS))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
