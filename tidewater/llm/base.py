@@ -127,13 +127,12 @@ def spread_prefix(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     )
 
 
-def rows_with_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str, least_words: int = 1 << 16, most_words: int = 1 << 20) -> DataFrame:
-    """``df`` left semi ``ids``, without moving the rows that cannot match.
+def marked_by_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str, least_words: int = 1 << 16, most_words: int = 1 << 20) -> DataFrame:
+    """``df`` with a column ``__tw_hit``: false only where no id equals ``column``; no row moves.
 
     The ids set bits in a table of at most ``most_words`` 64-bit words (16 MB,
-    whatever the input's size), which is broadcast; only rows that hit a bit go
-    on to the exact join. With more ids than bits the filter lets more through
-    and the join remains exact.
+    whatever the input's size), which is broadcast. With more ids than bits the
+    table marks more rows that match nothing; what follows must be exact.
     """
     words = least_words
     n = ids.count()
@@ -142,11 +141,31 @@ def rows_with_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str, le
     mixed = lambda c: F.xxhash64(F.col(c), F.lit(0xB1F))
     word = lambda c: F.pmod(mixed(c), F.lit(words)).cast("int")
     bit = lambda c: F.pmod(F.shiftright(mixed(c), 24), F.lit(64)).cast("int")
-    bits = ids.groupBy(word(id_column).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(id_column))).alias("__bits"))
-    hit = F.call_function("shiftright", F.col("__bits"), bit(column)).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    near = df.join(F.broadcast(bits), word(column) == F.col("__word")).where(hit).drop("__word", "__bits")
+    bits = ids.groupBy(word(id_column).alias("__tw_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(id_column))).alias("__tw_bits"))
+    hit = F.call_function("shiftright", F.col("__tw_bits"), bit(column)).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    met = df.join(F.broadcast(bits), word(column) == F.col("__tw_word"), "left")
+    return met.withColumn("__tw_hit", F.coalesce(hit, F.lit(False))).drop("__tw_word", "__tw_bits")
+
+
+def rows_with_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """``df`` left semi ``ids``; only rows that hit a bit of the ids go on to the exact join."""
+    near = marked_by_ids(df, column, ids, id_column).where("__tw_hit").drop("__tw_hit")
     return near.join(ids.select(F.col(id_column).alias("__tw_id")), F.col(column) == F.col("__tw_id"), "left_semi")
 
 
+def boxed(df: DataFrame, *names: str) -> DataFrame:
+    """All columns as one struct ``__tw_doc``, beside copies of those named: no column can clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__tw_doc"), *[F.col(f"`{n}`") for n in names])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("__tw_doc.*")
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the boxed rows with equal keys the one whose columns, written as JSON, come first; with the keys."""
+    return df.groupBy(*keys).agg(F.min_by("__tw_doc", F.to_json("__tw_doc")).alias("__tw_doc"))
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
