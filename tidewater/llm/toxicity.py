@@ -2,7 +2,7 @@
 
 A word is the bag of itself and its byte 3- to 6-grams, a segment the average of
 ``SEGMENT`` words of the text in a row, and a linear softmax on that average says how toxic the
-segment is. Embeddings and softmax are trained jointly in numpy, so a spelling
+segment is. Embeddings and softmax start from noise and are trained jointly in numpy, so a spelling
 that never occurred shares the vectors of its character n-grams. Labels are
 per document; training first gives every segment its document's label, then
 keeps, of toxic documents, only the segments that stand out against clean ones.
@@ -14,13 +14,14 @@ text is looked at.
 
 The fit uses a bounded sample: at most ``MAX_PER_CLASS`` labelled documents of
 each class (in a hash order), of at most ``MAX_CHARS`` characters each, and takes
-equal segments of a document once. Scoring is linear in a word's n-grams, so a
-word costs one cached number per worker.
+equal segments of a document once. Scoring is linear in a word's n-grams: each
+distinct word of a slice of texts is one number, and a worker remembers nothing.
 
 Defined cases: null or blank text has no segment and gets the score of a typical
 clean document; without labels of both classes every score is the share
-of toxic labels (0.0 without labels); a null doc_id is not held out; repeated
-rows are scored alike; other columns are never read.
+of toxic labels (0.0 without labels); a null doc_id is not held out; of several
+texts under one id the fit takes one, by its hash; a very long text is a slice of
+its own; repeated rows are scored alike; other columns are never read.
 """
 
 import zlib
@@ -28,13 +29,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import read, schema, ship
+from tidewater.llm.base import read, ship
+from tidewater.llm.tokens import slices
 
-SEGMENT = 8
+SEGMENT = 4
 LEAST_WORDS = 4
 TOP = 3
 GRAMS = (3, 4, 5, 6)
@@ -47,8 +50,9 @@ ROUNDS = 4
 LEADERS = 2
 CLEAN_SEGMENTS = 20_000
 CALIBRATION_SHARE = 4  # one labelled document in so many calibrates
-CACHE_WORDS = 1_000_000
-TEXTS_AT_ONCE = 64  # texts that are held as words at a time
+WORDS_AT_ONCE = 20_000  # distinct words whose n-grams are spelt out at a time
+FIRST_EPOCHS, RATE = 3, 0.5
+SCORE = "__tw_score"
 THRESHOLD = 0.3
 EDGES = ".,;:!?#$%&*|<>\"'()[]{}-_"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -78,9 +82,30 @@ def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
-def words_of(text: str) -> list[str]:
-    """The words of the whole text, in order, as often as they occur."""
-    return text.lower().split()
+class Words:
+    """The words of whole texts, in order, as often as they occur: distinct words, their numbers, and words per text."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        flat, offsets = split.flatten(), split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        real = pc.binary_length(flat).to_numpy() > 0
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        self.distinct: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.numbers = coded.indices.to_numpy()
+        self.counts = np.diff(np.concatenate([[0], np.cumsum(real)])[offsets])
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each segment of ``SEGMENT`` words begins, its number of words and its text."""
+        parts = -(-self.counts // SEGMENT)
+        owner = np.repeat(np.arange(len(parts)), parts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(np.cumsum(self.counts) - self.counts, parts) + SEGMENT * place
+        return begin, np.minimum(SEGMENT, self.counts[owner] - SEGMENT * place), owner
+
+
+def as_texts(texts) -> pa.Array:
+    return pa.array(texts, pa.string())
 
 
 @dataclass
@@ -94,51 +119,41 @@ class Model:
     prior: float
     floor: tuple[float, ...] = (0.0,) * TOP
 
-    def __post_init__(self):
-        self.cache: dict[str, float] = {}
-
     def word_margins(self, words: list[str]) -> np.ndarray:
         """The mean margin of a word's n-grams, for each word."""
-        ids, owners = gram_ids(words)
-        n = len(words)
-        return np.bincount(owners, self.margins[ids], n) / np.maximum(np.bincount(owners, minlength=n), 1)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for words in texts for w in words}.difference(self.cache))
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
-            self.cache.update(zip(part, self.word_margins(part).tolist(), strict=True))
-
-    def top_margins(self, words: list[str]) -> np.ndarray:
-        """The margins of a document's ``TOP`` most toxic segments; missing ones count as a clean document's."""
-        top = np.array(self.floor)
-        if words:
-            values = np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
-            starts = np.arange(0, len(words), SEGMENT)
-            sizes = np.minimum(SEGMENT, len(words) - starts)
-            margins = np.sort(np.add.reduceat(values, starts) / np.maximum(sizes, LEAST_WORDS))[::-1][:TOP] + self.bias
-            top[: len(margins)] = margins
-        return top
-
-    def tops(self, texts: list[str]) -> list[np.ndarray]:
-        split = [words_of(t) for t in texts]
-        self.learn(split)
-        return [self.top_margins(w) for w in split]
-
-    def scores(self, texts: list[str]) -> list[float]:
+        out = [np.zeros(0)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            ids, owners = gram_ids(words[at : at + WORDS_AT_ONCE])
+            n = min(WORDS_AT_ONCE, len(words) - at)
+            out.append(np.bincount(owners, self.margins[ids], n) / np.maximum(np.bincount(owners, minlength=n), 1))
+        return np.concatenate(out)
+
+    def tops(self, texts: pa.Array) -> np.ndarray:
+        """The margins of each text's ``TOP`` most toxic segments; missing ones count as a clean document's."""
+        words = Words(texts)
+        out = np.tile(np.array(self.floor), (len(texts), 1))
+        begin, sizes, owner = words.segments()
+        if len(begin):
+            values = self.word_margins(words.distinct)[words.numbers]
+            margins = np.add.reduceat(values, begin) / np.maximum(sizes, LEAST_WORDS) + self.bias
+            order = np.lexsort((-margins, owner))
+            rank = np.arange(len(order)) - np.searchsorted(owner, owner)  # ``owner`` is ascending
+            best = rank < TOP
+            out[owner[best], rank[best]] = margins[order][best]
+        return out
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if self.margins is None:
-            return [self.prior] * len(texts)
-        tops = [top for at in range(0, len(texts), TEXTS_AT_ONCE) for top in self.tops(texts[at : at + TEXTS_AT_ONCE])]
-        z = np.stack(tops) @ self.slopes + self.shift if tops else np.zeros(0)
-        return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).tolist()
+            return np.full(len(texts), self.prior)
+        tops = [self.tops(texts.slice(a, b - a)) for a, b in slices(texts)]
+        z = np.concatenate([np.zeros((0, TOP)), *tops]) @ self.slopes + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
 class _Bags:
     """Segments as word numbers, words as n-gram buckets; only a batch is ever spelt out."""
 
-    def __init__(self, vocabulary: list[str], segments: list[tuple[int, ...]]):
+    def __init__(self, vocabulary: list[str], words: np.ndarray, sizes: np.ndarray):
         grams, counts = [], []
         for k in range(0, len(vocabulary), 20_000):
             ids, owners = gram_ids(vocabulary[k : k + 20_000])
@@ -146,10 +161,9 @@ class _Bags:
             counts.append(np.bincount(owners, minlength=min(20_000, len(vocabulary) - k)))
         self.grams = np.concatenate(grams)
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        self.sizes = np.array([len(s) for s in segments])
-        self.words = np.array([w for s in segments for w in s], np.int32)
-        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.n = len(segments)
+        self.sizes, self.words = sizes, words
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.n = len(sizes)
 
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of these words, and each one's place in ``words``."""
@@ -160,7 +174,7 @@ class _Bags:
 
     def margins(self, table: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> np.ndarray:
         """Every segment's margin."""
-        u = table @ (soft[:, 1] - soft[:, 0])
+        u = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         per_word = np.add.reduceat(u[self.grams], self.at[:-1]) / np.diff(self.at)
         return np.add.reduceat(per_word[self.words], self.begin[:-1]) / np.maximum(self.sizes, LEAST_WORDS) + (bias[1] - bias[0])
 
@@ -224,77 +238,74 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nda
         del use[worst]
 
 
+def _distinct_segments(words: Words, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, sizes and texts of the segments of the texts to ``use``; equal segments of a text count once."""
+    begin, sizes, owner = words.segments()
+    own = use[owner]
+    begin, sizes, owner = begin[own], sizes[own], owner[own]
+    rows = np.full((len(begin), 1 + SEGMENT), -1, np.int32)
+    rows[:, 0] = owner
+    for k in range(SEGMENT):
+        there = sizes > k
+        rows[there, 1 + k] = words.numbers[begin[there] + k]
+    rows = np.unique(rows, axis=0)
+    inside = rows[:, 1:]
+    return inside[inside >= 0], (inside >= 0).sum(1), rows[:, 0]
+
+
 def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Model:
     """Train on texts with labels 0/1; ``prior`` is the share of label 1 in the whole label table."""
     y = np.asarray(labels, np.int64)
+    nothing = Model(None, 0.0, None, 0.0, prior)
     if len(set(labels)) < 2:
-        return Model(None, 0.0, None, 0.0, prior)
+        return nothing
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % CALIBRATION_SHARE == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(texts), bool)
 
-    vocabulary = sorted({w for t in texts for w in words_of(t)})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    split = [np.array([place[w] for w in words_of(t)], np.int32) for t in texts]
-    if not vocabulary:
-        return Model(None, 0.0, None, 0.0, prior)
-    seg_words, seg_label, seg_doc = [], [], []
-    for i, words in enumerate(split):
-        if not held[i]:
-            for segment in dict.fromkeys(tuple(words[k : k + SEGMENT].tolist()) for k in range(0, len(words), SEGMENT)):
-                seg_words.append(segment)
-                seg_label.append(y[i])
-                seg_doc.append(i)
-    if not seg_words:
-        return Model(None, 0.0, None, 0.0, prior)
-    seg_label, seg_doc = np.array(seg_label), np.array(seg_doc)
-    bags = _Bags(vocabulary, seg_words)
-    # Start from each n-gram's log odds over documents, then train jointly.
-    seen = np.zeros((2, BUCKETS))
-    for i, words in enumerate(split):
-        if len(words) and not held[i]:
-            seen[y[i], np.unique(bags.grams_of(np.unique(words))[0])] += 1
-    docs_of = [max(1, int((y[~held] == k).sum())) for k in (0, 1)]
-    odds = np.log((seen[1] + 0.5) / (docs_of[1] + 1)) - np.log((seen[0] + 0.5) / (docs_of[0] + 1))
-    doubt = 2 * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))  # two standard errors
-    odds = np.sign(odds) * np.maximum(np.abs(odds) - doubt, 0)
+    column = as_texts(texts)
+    words = Words(column)
+    numbers, sizes, seg_doc = _distinct_segments(words, ~held)
+    seg_label = y[seg_doc]
+    clean = np.flatnonzero(seg_label == 0)
+    if not len(clean) or len(clean) == len(seg_label):
+        return nothing
+    bags = _Bags(words.distinct, numbers, sizes)
+    del words
+    # From noise: embeddings and softmax learn everything together.
     table = rng.normal(0, 0.05, (BUCKETS, DIM))
-    table[:, 0] += 12 * odds
-    soft = np.stack([-np.ones(DIM), np.ones(DIM)], 1) * 0.5
+    soft = rng.normal(0, 0.5, (DIM, 2))
     state = (table, soft, np.zeros(2), [np.zeros(BUCKETS), np.zeros((DIM, 2))])
     n = len(seg_label)
-    clean = np.flatnonzero(seg_label == 0)
-    if not len(clean) or len(clean) == n:
-        return Model(None, 0.0, None, 0.0, prior)
     for k in range(ROUNDS):
-        z = bags.margins(*state[:3])
-        bar = np.quantile(z[clean], 0.998)
-        hard = clean[np.argsort(-z[clean], kind="stable")[:CLEAN_SEGMENTS]]
-        others = rng.choice(clean, min(len(clean), CLEAN_SEGMENTS), replace=False)
         chosen = np.zeros(n, bool)
-        chosen[hard] = chosen[others] = True
         if k == 0:
             chosen[seg_label == 1] = True
+            chosen[rng.choice(clean, min(len(clean), 2 * CLEAN_SEGMENTS), replace=False)] = True
         else:  # of toxic documents, what stands out against clean ones or leads its document
+            z = bags.margins(*state[:3])
+            bar = np.quantile(z[clean], 0.998)
             order = np.lexsort((-z, seg_doc))
-            first = np.searchsorted(seg_doc[order], seg_doc[order])
             rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n) - first
+            rank[order] = np.arange(n) - np.searchsorted(seg_doc, seg_doc)  # ``seg_doc`` is ascending
             chosen[(seg_label == 1) & ((z > bar) | (rank < LEADERS))] = True
-        state = _train(bags, np.flatnonzero(chosen), seg_label, state, rng, 2 if k == 0 else 1, 0.5)
+            chosen[clean[np.argsort(-z[clean], kind="stable")[:CLEAN_SEGMENTS]]] = True
+            chosen[rng.choice(clean, min(len(clean), CLEAN_SEGMENTS), replace=False)] = True
+        state = _train(bags, np.flatnonzero(chosen), seg_label, state, rng, FIRST_EPOCHS if k == 0 else 1, RATE)
     table, soft, bias, _ = state
-    model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), None, 0.0, prior)
+    model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), None, 0.0, prior)
+    del bags
     proof = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    full = [top for i in proof if y[i] == 0 and len(split[i]) > TOP * SEGMENT for top in model.tops([texts[i]])]
-    if full:
-        model.floor = tuple(np.median(full, 0).tolist())
-    z = np.stack([top for i in proof for top in model.tops([texts[i]])])
+    z = model.tops(column.take(pa.array(proof)))
     yy = y[proof].astype(float)
+    full = z[(yy == 0) & (z[:, -1] != model.floor[-1])]
+    if len(full):
+        model.floor = tuple(np.median(full, 0).tolist())
+        z = model.tops(column.take(pa.array(proof)))
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(yy == 1, prior / max(yy.mean(), 1e-9), (1 - prior) / max(1 - yy.mean(), 1e-9))
     model.slopes, model.shift = _calibrate(z, yy, weight)
-    model.cache.clear()
     return model
 
 
@@ -315,24 +326,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CL
         part = known.where(F.col("toxic") == k).orderBy(mixed, "__id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MAX_CHARS)
-    # The sample has a fixed number of ids at most.
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "toxic", "text").collect()
-    rows = sorted(rows, key=lambda r: (hash((r[0] * 2654435761) % 2**32), r[0], r[2]))
+    # The sample has a fixed number of ids at most, and each gives one text: of an id's several texts that with the least hash.
+    met = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "toxic")
+    rows = met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
+    rows = sorted(rows, key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
     return fit([r[2] for r in rows], [r[1] for r in rows], prior)
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score``: one row per input row."""
+def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``score``: one row per input row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.margins, model.bias, model.slopes, model.shift, model.prior, model.floor))
 
-    def run(parts):
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for frame in parts:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": own.scores(frame["text"].tolist())})
+        for texts in parts:
+            yield pa.array(own.scores(texts), pa.float64())
 
-    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return asked.mapInPandas(run, schema("doc_id string, score double")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "score")
+    score = F.arrow_udf(run, "double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], score(F.coalesce("text", F.lit(""))).alias(SCORE))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, training: DataFrame | None = None) -> DataFrame:
@@ -341,19 +353,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     ``training`` has the labelled texts, if ``docs`` hasn't.
     """
     model = fit_toxicity(docs if training is None else training, labels)
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.margins, model.bias, model.slopes, model.shift, model.prior, model.floor))
-
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Model(*shared.value)
-        for texts in parts:
-            yield pd.Series(own.scores(texts.tolist()))
-
-    score = F.pandas_udf(score, "double")
-    return docs.where(score(F.coalesce("text", F.lit(""))) < threshold)
+    scored = score_toxicity(docs, model, tuple(docs.columns))
+    return scored.where(F.col(SCORE) < threshold).drop(SCORE)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    score = F.col(SCORE)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
