@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +37,87 @@ def test_toxicity_model_finds_misspellings():
         texts.append(" ".join(words))
         labels.append(int(i % 4 == 0))
     model = toxicity.fit(texts, labels, 0.25)
-    clean, toxic, misspelt, empty = model.scores(["the river and the stone under the garden", "you scoundrel and vermin you", "what a scoundreel and cretinuous table", ""])
+    asked = ["the river and the stone under the garden", "you scoundrel and vermin you", "what a scoundreel and cretinuous table", ""]
+    clean, toxic, misspelt, empty = model.scores(toxicity.as_texts(asked))
     assert clean < 0.3 and empty < 0.3 and toxic > 0.6 and misspelt > 0.3
 
 
 def test_toxicity_without_labels(documents, none, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit_toxicity(documents, labels)
-    assert {r.score for r in toxicity.score_toxicity(documents, model).collect()} == {0.0}
+    assert {r[toxicity.SCORE] for r in toxicity.score_toxicity(documents, model).collect()} == {0.0}
     assert toxicity.score_toxicity(none, model).collect() == []
 
 
 def test_toxicity_looks_at_repeated_words():
-    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0, None, 0.0, 0.1, (-9.0,) * toxicity.TOP)
+    class Known(toxicity.Model):
+        def word_margins(self, words):
+            return np.array([-1.0 if w == "fine" else 1.0 for w in words])
+
+    model = Known(np.zeros(toxicity.BUCKETS), 0.0, None, 0.0, 0.1, (-9.0,) * toxicity.TOP)
     bad = [f"bad{k}" for k in range(toxicity.SEGMENT)]
-    model.cache = {"fine": -1.0, **dict.fromkeys(bad, 1.0)}
     early = [f"{w} " + "fine " * (toxicity.SEGMENT - 1) for w in bad]
-    late, repeated = [model.top_margins(toxicity.words_of(t)) for t in ["".join(early) + " ".join(bad), "bad0 " * toxicity.SEGMENT * toxicity.TOP]]
+    late, repeated = model.tops(toxicity.as_texts(["".join(early) + " ".join(bad), "bad0 " * toxicity.SEGMENT * toxicity.TOP]))
     assert late[0] == 1.0 and repeated.tolist() == [1.0] * toxicity.TOP
 
 
+def brute_score(model, text):
+    """The score of one text, word by word and n-gram by n-gram."""
+    words = text.lower().split()
+    margins = []
+    for at in range(0, len(words), toxicity.SEGMENT):
+        part = words[at : at + toxicity.SEGMENT]
+        total = 0.0
+        for w in part:
+            ids = toxicity.gram_ids([w])[0].tolist()
+            total += sum(float(model.margins[i]) for i in ids) / len(ids)
+        margins.append(total / max(len(part), toxicity.LEAST_WORDS) + model.bias)
+    top = sorted(margins, reverse=True)[: toxicity.TOP]
+    top += list(model.floor[len(top) :])
+    return 1 / (1 + np.exp(-(np.dot(top, model.slopes) + model.shift)))
+
+
+def test_toxicity_query_equals_brute_force(spark, sf_dir, documents):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit_toxicity(documents, labels)
+    found = {r.doc_id: r for r in toxicity.op4_toxicity(spark, sf_dir).collect()}
+    for r in documents.collect():
+        assert abs(found[r.doc_id].score - brute_score(model, r.text or "")) < 1e-6
+
+
+def test_toxicity_ranks_held_out_labels(spark, sf_dir):
+    """On the 990 held-out labels of the largest table: 120 are toxic."""
+    larger = Path(sf_dir).parent / "sf0.1"
+    if not larger.exists():
+        pytest.skip("no larger table here")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").where("toxic IN (0, 1)")
+    asked = spark.read.parquet(f"{larger}/documents.parquet").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    asked = [r for r in asked if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    model = toxicity.fit_toxicity(spark.read.parquet(f"{larger}/documents.parquet"), labels)
+    scores, toxic = model.scores(toxicity.as_texts([r.text or "" for r in asked])), np.array([r.toxic == 1 for r in asked])
+    assert np.mean(scores[toxic][:, None] > scores[~toxic]) > 0.95
+    assert (scores[toxic] >= 0.3).mean() > 0.85 and (scores[~toxic] >= 0.3).mean() < 0.02
+
+
+def test_toxicity_starts_from_noise():
+    """Without joint training the scores say nothing; with it they separate unseen texts."""
+    rng, plain = random.Random(3), [f"word{k}" for k in range(300)]
+
+    def text(toxic):
+        words = rng.choices(plain, k=40)
+        for _ in range(2 * toxic):
+            words.insert(rng.randrange(40), rng.choice(["abominable", "wretched"]))
+        return " ".join(words)
+
+    labels = [k % 3 == 0 for k in range(600)]
+    texts = [text(y) for y in labels]
+    trained = toxicity.fit(texts, [int(y) for y in labels], 0.33)
+    asked = toxicity.as_texts([text(k % 2) for k in range(400)])
+    order = lambda m: np.mean(m.tops(asked)[1::2, :1] > m.tops(asked)[::2, 0])
+    noise = toxicity.Model(np.random.default_rng(1).normal(0, 0.1, toxicity.BUCKETS), 0.0, None, 0.0, 0.33)
+    assert order(trained) > 0.97 and 0.2 < order(noise) < 0.8
+
+
 def test_toxicity_fit_takes_2500_of_each_class(spark, monkeypatch):
     n = 10_000  # three quarters of them are learned from
     docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id) AS text")
@@ -70,7 +132,7 @@ def test_toxicity_held_out(spark, documents, sf_dir, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(documents, labels)
     found = toxicity.score_toxicity(odd, model)
-    assert found.count() == odd.count() and all(0 <= r.score <= 1 for r in found.collect())
+    assert found.count() == odd.count() and all(0 <= r[toxicity.SCORE] <= 1 for r in found.collect())
     left = toxicity.drop_toxic(odd, labels, training=documents)
     assert left.columns == odd.columns
     rows = toxicity.op4_toxicity(spark, sf_dir).collect()
@@ -102,9 +164,7 @@ def test_html_labelling_is_consistent_and_accurate():
     extractor, rng, good = html_extract.trained(), np.random.default_rng(77), 0
     for _ in range(60):
         page = html_extract.training_page(rng)
-        builder = html_extract._Labelled()
-        builder.feed(page)
-        builder.close()
+        own, truth = html_extract.labelled(page)
         nodes = html_extract.parse(page)
         label = html_extract.decode(nodes, extractor.trees.log_chances(html_extract.features(nodes)), extractor.steps)
         at = {id(n): i for i, n in enumerate(nodes)}
@@ -112,16 +172,51 @@ def test_html_labelling_is_consistent_and_accurate():
             above = label[at[id(n.parent)]]
             assert not (above == html_extract.DROP and label[i] != html_extract.DROP)
             assert not (above == html_extract.KEEP and label[i] == html_extract.CONTAIN)
-        own, waiting = [], [builder.root]
-        while waiting:
-            n = waiting.pop()
-            own.append(n)
-            waiting.extend(reversed(n.children))
-        truth = [builder.labels.get(id(n), 1 if n.parent is None else 0) for n in own]
         good += html_extract.text_of(own, truth) == html_extract.text_of(nodes, label)
     assert good >= 48
 
 
+LOREM = "Rain fell on the harbour all night, and the boats stayed where they were until the morning came."
+MORE = "Nobody in the village had seen such water before, not even the oldest of the fishermen who lived there."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><body>{LOREM}<br><br>{MORE}<p>{LOREM}</p></body></html>", f"{LOREM} {MORE} {LOREM}"),
+        (f"{LOREM} <p>{MORE}</p><p>{LOREM}</p>", f"{LOREM} {MORE} {LOREM}"),
+        (f"<html><body>{LOREM}<br>{MORE}</body></html>", f"{LOREM} {MORE}"),
+        (f"<article><p>{LOREM} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p><p>{MORE}</p></article>", f"{LOREM} x=2. {MORE}"),
+        (f"<nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav><article>{LOREM}<br><br>{MORE}</article><footer>&copy; 2020 Us</footer>", f"{LOREM} {MORE}"),
+        (f"<article><h1>Rain</h1><p>{LOREM}</p><noscript>Enable scripts</noscript><p>{MORE}</p></article>", f"Rain {LOREM} {MORE}"),
+    ],
+)
+def test_html_loose_text_and_formulas(page, text):
+    assert html_extract.trained().texts([page]) == [text]
+
+
+def other_page(rng):
+    """A layout of another generator, with names that training has never seen, and its article."""
+    say = lambda n: " ".join(rng.choice(LOREM.split()) for _ in range(n)).capitalize() + "."
+    paragraphs = [say(rng.randrange(15, 70)) for _ in range(rng.randrange(2, 7))]
+    title = say(5)
+    body = rng.choice([lambda: "".join(f"<p>{p}</p>" for p in paragraphs), lambda: "<br><br>".join(paragraphs), lambda: "".join(f"<div>{p}</div>" for p in paragraphs)])()
+    inside = rng.choice([f"<article><h1>{title}</h1>{body}</article>", f'<div class="zq-leaf k7"><h1>{title}</h1>{body}</div>', f'<main id="vv"><h1>{title}</h1>{body}</main>'])
+    links = "".join(f'<a href="/{k}">{say(2)}</a> ' for k in range(rng.randrange(4, 12)))
+    top = rng.choice([f"<header>{links}</header>", f'<nav class="qz">{links}</nav>', f'<div class="menu bar9">{links}</div>'])
+    end = rng.choice([f"<footer>{say(6)} {links}</footer>", f'<div class="legal footer">{say(4)}</div>', ""])
+    side = rng.choice([f"<aside>{say(9)}{links}</aside>", f'<div class="related-k">{links}</div>', ""])
+    return f"<!doctype html><html><body>{top}{inside}{side}{end}<script>x=1</script></body></html>", " ".join([title, *paragraphs])
+
+
+def test_html_layouts_of_another_generator():
+    rng = random.Random(12)
+    pages = [other_page(rng) for _ in range(200)]
+    found = html_extract.trained().texts([p for p, _ in pages])
+    share = sum(a == b for a, (_, b) in zip(found, pages, strict=True)) / len(pages)
+    assert share >= 0.9, share
+
+
 def test_html_features_of_many_siblings():
     nodes = html_extract.parse("<body><div>" + "<p>some text</p>" * 60 + "<article>more</article></div></body>")
     stat = html_extract.features(nodes)[:, html_extract._FIRST_STAT :]

@@ -1,10 +1,12 @@
 """Main text of web pages from boosted trees over DOM nodes.
 
-A page becomes a tree of block nodes; inline elements belong to their block.
-Each node has features of its tag, the tokens of its class, id and role (its
-own and its ancestors'), its subtree's text and link density, depth and place
-among its siblings. Boosted trees, trained in numpy on generated pages of many
-layouts, say how likely a node is boilerplate, a container or content.
+A page becomes a tree of block nodes; inline elements belong to their block, and
+text that stands beside blocks (loose text) makes nodes of its own, one for each
+run between blocks, rules or empty lines of ``<br>``. Each node has features of its
+tag, the tokens of its class, id and role (its own and its ancestors'), its
+subtree's text and link density, depth and place among its siblings. Boosted
+trees, trained in numpy on generated pages of many layouts, say how likely a
+node is boilerplate, a container or content.
 
 Decoding is hierarchical: below boilerplate everything is boilerplate, below
 content there is content or boilerplate, and a container decides nothing for
@@ -12,13 +14,16 @@ its children. The best consistent labelling of the whole tree is found by
 dynamic programming, so ancestors and descendants never contradict each other.
 The text is that of all content nodes, in page order.
 
-Scripts, styles, comments, the head and form controls are no text at all.
-Character references are decoded once; white space runs become one blank.
+No text at all are: scripts, styles, comments, the head, form controls, and what a
+browser shows only where it cannot show the element itself (``noscript``,
+``object``, ``iframe``, ``canvas``, ``audio``, ``video``, and the titles, descriptions and
+annotations inside ``svg`` and ``math``; their visible text is kept). Character
+references are decoded once; white space runs become one blank.
 
 Defined cases: null or empty html gives an empty text; a page without any tag
 is text that stands alone and is kept; markup that never ends is closed at the
 end; repeated rows give repeated rows; other columns are ignored. Every page
-is parsed whole.
+is parsed whole, also a very long one, whose nodes one task holds.
 """
 
 import functools
@@ -36,10 +41,15 @@ from tidewater.llm.boosting import BoostedTrees
 
 DROP, CONTAIN, KEEP = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object select textarea button option canvas audio video".split())
+SILENT = frozenset("script style noscript template head title desc metadata annotation annotation-xml iframe object select textarea button option canvas audio video".split())
 INLINE = frozenset(
-    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math semantics mrow mi mo mn ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mfenced "
+    "svg g text tspan textpath defs".split()
 )
+LOOSE = "#run"
+#: Blocks without blocks inside whose text is cut at empty lines of breaks.
+SPLIT = frozenset("#page html body div section main article center td form".split())
 #: A start tag of the second kind ends an open element of the first.
 ENDS = {
     "p": frozenset(
@@ -55,7 +65,7 @@ ENDS = {
 #: What such an implied end never crosses.
 WALLS = frozenset("table ul ol dl body html div article section main td th".split())
 TAGS = (
-    "html body main article section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre figure figcaption address dl dt dd fieldset details"
+    "#run html body main article section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre figure figcaption address dl dt dd fieldset details"
 ).split()
 TOKENS = (
     "ad ads advert banner sponsor promo nav menu breadcrumb pagination header masthead footer copyright sidebar aside widget comment reply discussion "
@@ -64,6 +74,10 @@ TOKENS = (
 ).split()
 
 
+class LinkText(str):
+    """Text inside a link."""
+
+
 class Node:
     __slots__ = ("tag", "tokens", "parent", "children", "parts", "links")
 
@@ -72,6 +86,7 @@ class Node:
         self.children: list[Node] = []
         #: Texts and child nodes in order.
         self.parts: list = []
+        #: Characters inside links.
         self.links = 0
 
 
@@ -104,8 +119,8 @@ class _Builder(HTMLParser):
             self.link -= 1
 
     def handle_starttag(self, tag, attrs):
-        if tag == "br" or tag == "hr":
-            self.block.parts.append(" ")
+        if not self.silent and (tag == "br" or tag == "hr"):
+            self.block.parts.append(BREAK if tag == "br" else RULE)
         if tag in VOID:
             return
         for k in range(len(self.open) - 1, -1, -1):
@@ -143,24 +158,68 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         if not self.silent and data:
-            self.block.parts.append(data)
-            if self.link:
-                self.block.links += len(data)
+            self.block.parts.append(LinkText(data) if self.link else data)
+
+
+#: A line end and a rule, as they stand in ``Node.parts``.
+BREAK, RULE = "\n\v", "\n\v\v"
+
+
+def _runs(parts: list) -> list[list]:
+    """Texts and child nodes, cut before and after each node, at rules, and where two or more breaks follow each other."""
+    out: list[list] = [[]]
+    breaks = 0
+    for part in parts:
+        if not isinstance(part, str):
+            out += [[part], []]
+            breaks = 0
+        elif part is RULE or part is BREAK:
+            breaks += 1
+            if part is RULE or breaks > 1:
+                out.append([])
+            out[-1].append(" ")
+        else:
+            out[-1].append(part)
+            breaks = 0 if part.strip() else breaks
+    return out
 
 
-def parse(html: str) -> list[Node]:
-    """All block nodes, parents before children; the first is the page itself."""
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    nodes, waiting = [], [builder.root]
+def _links(parts: list) -> int:
+    return sum(len(p) for p in parts if type(p) is LinkText)
+
+
+def settle(root: Node) -> list[Node]:
+    """All nodes, parents before children; the first is the page itself. Loose text moves into nodes of its own."""
+    nodes, waiting = [], [root]
     while waiting:
         node = waiting.pop()
         nodes.append(node)
-        waiting.extend(reversed(node.children))
+        runs = _runs(node.parts)
+        if not node.children and (len(runs) == 1 and node.tag not in ("html", "body") or node.tag not in SPLIT):
+            node.parts = [" " if p is BREAK or p is RULE else p for p in node.parts]
+            node.links = _links(node.parts)
+            continue
+        own: list = []
+        for run in runs:
+            if len(run) == 1 and not isinstance(run[0], str):
+                own.append(run[0])
+            elif "".join(run).strip():
+                made = Node(LOOSE, frozenset(), node)
+                made.parts = run
+                own.append(made)
+        node.children = node.parts = own
+        waiting.extend(reversed(own))
     return nodes
 
 
+def parse(html: str) -> list[Node]:
+    """All nodes, parents before children; the first is the page itself."""
+    builder = _Builder()
+    builder.feed(html)
+    builder.close()
+    return settle(builder.root)
+
+
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _TOKEN_AT = {t: i for i, t in enumerate(TOKENS)}
 #: Plural and joined forms count as their token.
@@ -185,7 +244,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((n, WIDTH), np.float32)
     own = np.zeros((n, 6))  # characters, link characters, words, stops, paragraphs, blocks
     for i, node in enumerate(nodes):
-        text = " ".join([p for p in node.parts if type(p) is str])
+        text = " ".join([p for p in node.parts if isinstance(p, str)])
         words = text.split()
         own[i] = len("".join(words)), node.links, len(words), text.count(".") + text.count(","), node.tag == "p" and bool(words), 1
     sums = own.copy()
@@ -244,13 +303,13 @@ def decode(nodes: list[Node], chances: np.ndarray, steps: np.ndarray | None = No
 
 def text_of(nodes: list[Node], label: list[int]) -> str:
     if len(nodes) == 1:
-        return " ".join("".join(p for p in nodes[0].parts if type(p) is str).split())
+        return " ".join("".join(p for p in nodes[0].parts if isinstance(p, str)).split())
     at = {id(x): i for i, x in enumerate(nodes)}
     out: list[str] = []
     waiting: list = [nodes[0]]
     while waiting:
         part = waiting.pop()
-        if type(part) is str:
+        if isinstance(part, str):
             out.append(part)
             continue
         keep = label[at[id(part)]]
@@ -258,7 +317,7 @@ def text_of(nodes: list[Node], label: list[int]) -> str:
             continue
         out.append(" ")
         waiting.append(" ")
-        waiting.extend(p for p in reversed(part.parts) if keep == KEEP or type(p) is not str)
+        waiting.extend(p for p in reversed(part.parts) if keep == KEEP or not isinstance(p, str))
     return " ".join("".join(out).split())
 
 
@@ -280,6 +339,8 @@ class Extractor:
 
 # Training pages -------------------------------------------------------------
 
+#: Share of blocks whose names say nothing.
+STRANGE = 0.08
 _SYLLABLES = "an ba co de el fi go ha in jo ka le mi no or pe qui ra su te un ve wo xa zu th er on st ing".split()
 
 
@@ -299,9 +360,16 @@ def _element(rng, tag: str, names: list[str], inside: str, label: int, always: b
     """Markup of a block with its label; names are possible class or id values."""
     kind = _pick(rng, ["class", "class", "id", "role" if tag != "p" else "class"])
     name = f' {kind}="{_pick(rng, names)}"' if names and (always or rng.random() < 0.7) else ""
+    if name and rng.random() < STRANGE:  # names that say nothing
+        name = f' {kind}="{"".join(rng.choice(_SYLLABLES, 3))}-{rng.integers(99)}"'
     return f'<{tag}{name} data-label="{label}">{inside}</{tag}>'
 
 
+def _loose(rng, low: int, high: int, label: int) -> str:
+    """Text beside blocks, with its label."""
+    return f'<span data-label="{label}">{_words(rng, low, high)}</span>'
+
+
 def _boilerplate(rng) -> str:
     links = lambda low, high: "<ul>" + "".join(f'<li><a href="#">{_words(rng, 1, 3)}</a></li>' for _ in range(rng.integers(low, high))) + "</ul>"
     paragraph = lambda low, high: f"<p>{_words(rng, low, high)}</p>"
@@ -322,6 +390,12 @@ def _boilerplate(rng) -> str:
 def _article(rng) -> str:
     parts = [f'<{h} data-label="2">{_words(rng, 1, 14)}</{h}>' for h in [_pick(rng, ["h1", "h2", "h1"])] if rng.random() < 0.85]
     short = rng.random() < 0.3  # some articles are a few words in all
+    style = rng.random()
+    if style < 0.12:  # paragraphs are loose text between empty lines
+        body = "<br><br>".join(_loose(rng, 1, 8, 2) if short else _loose(rng, 8, 90, 2) for _ in range(rng.integers(1, 7)))
+        return "".join(parts) + body + (_boilerplate(rng) if rng.random() < 0.15 else "")
+    if style < 0.3:
+        parts.insert(int(rng.integers(len(parts) + 1)), _loose(rng, 2, 40, 2))
     for _ in range(rng.integers(1, 4 if short else 9)):
         roll = rng.random()
         if short or roll < 0.72:
@@ -333,6 +407,8 @@ def _article(rng) -> str:
             parts.append(f'<blockquote data-label="2"><p data-label="2">{_words(rng, 5, 40)}</p></blockquote>')
         elif roll < 0.86:
             parts.append(f'<h2 data-label="2">{_words(rng, 1, 8)}</h2>')
+        elif roll < 0.875:
+            parts.append(_loose(rng, 3, 60, 2) + _pick(rng, ["<br>", "<br><br>", "<hr>", ""]))
         elif roll < 0.89:
             parts.append(f'<pre data-label="2">{_words(rng, 4, 30)}</pre>')
         elif roll < 0.92:
@@ -348,16 +424,23 @@ def training_page(rng) -> str:
     tag = _pick(rng, ["article", "article", "main", "div", "section"])
     names = ["content", "post", "article-body", "entry-content", "story", "main-content", "post-text"]
     article = _element(rng, tag, names, _article(rng), KEEP, tag in ("div", "section"))
-    if rng.random() < 0.06:  # a bare page
-        return f'<html data-label="1"><body data-label="1">{_article(rng) if rng.random() < 0.5 else article}</body></html>'
+    if rng.random() < 0.12:  # a bare page
+        inside = _article(rng) if rng.random() < 0.5 else article
+        return inside if rng.random() < 0.5 else f'<html data-label="1"><body data-label="1">{inside}</body></html>'
     before = "".join(_boilerplate(rng) for _ in range(rng.integers(0, 4)))
     after = "".join(_boilerplate(rng) for _ in range(rng.integers(0, 4)))
+    if rng.random() < 0.1:  # an article without an element of its own
+        article = _article(rng)
+    if rng.random() < 0.06:  # loose text that is none of it
+        after += '<a href="#" ' + _loose(rng, 1, 4, 0)[5:-7] + "</a>"
     inside = before + article + after
     for _ in range(rng.integers(0, 3)):
         wrap = _pick(rng, ["div", "main", "section", "div"])
         split = rng.random() < 0.5
         shell = _element(rng, wrap, ["wrapper", "page", "container", "layout", "row"], inside, CONTAIN)
         inside = shell if not split else _boilerplate(rng) + shell + _boilerplate(rng)
+    if rng.random() < 0.15:  # tags that may be left out
+        return inside
     return f'<html data-label="1"><head><title>x</title></head><body data-label="1">{inside}</body></html>'
 
 
@@ -365,6 +448,8 @@ class _Labelled(_Builder):
     def __init__(self):
         super().__init__()
         self.labels: dict[int, int] = {}
+        self.marks: list[int | None] = []
+        self.texts: dict[int, int] = {}
 
     def handle_starttag(self, tag, attrs):
         before = self.block
@@ -372,27 +457,46 @@ class _Labelled(_Builder):
         given = dict(attrs).get("data-label")
         if self.block is not before and given is not None:
             self.labels[id(self.block)] = int(given)
+        elif tag in ("span", "a"):
+            self.marks.append(None if given is None else int(given))
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        if tag in ("span", "a"):
+            self.marks.pop()
+
+    def handle_data(self, data):
+        super().handle_data(data)
+        if self.marks and self.marks[-1] is not None and self.block.parts and isinstance(self.block.parts[-1], str):
+            self.texts[id(self.block.parts[-1])] = self.marks[-1]
+
+
+def labelled(page: str) -> tuple[list[Node], list[int]]:
+    """The nodes of a training page and their labels."""
+    builder = _Labelled()
+    builder.feed(page)
+    builder.close()
+    nodes = settle(builder.root)
+    label_of: dict[int, int] = {}
+    for node in nodes:
+        above = label_of[id(node.parent)] if node.parent else CONTAIN
+        if node.tag == LOOSE:
+            own = next((builder.texts[id(p)] for p in node.parts if id(p) in builder.texts), None)
+            found = own if own is not None else KEEP if above == KEEP else DROP
+            label_of[id(node)] = DROP if above == DROP else found
+        else:
+            # Unlabelled blocks are inside boilerplate.
+            label_of[id(node)] = builder.labels.get(id(node), CONTAIN if node.parent is None else DROP)
+    return nodes, [label_of[id(n)] for n in nodes]
 
 
 @functools.cache
-def trained(pages: int = 400, seed: int = 3) -> Extractor:
+def trained(pages: int = 700, seed: int = 3) -> Extractor:
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     pairs = np.ones((3, 3))
     for _ in range(pages):
-        builder = _Labelled()
-        builder.feed(training_page(rng))
-        builder.close()
-        nodes, waiting = [], [builder.root]
-        while waiting:
-            node = waiting.pop()
-            nodes.append(node)
-            waiting.extend(reversed(node.children))
-        labels = []
-        for node in nodes:
-            up = node.parent
-            # Unlabelled blocks are inside boilerplate.
-            labels.append(builder.labels.get(id(node), CONTAIN if up is None else DROP))
+        nodes, labels = labelled(training_page(rng))
         at = {id(x): i for i, x in enumerate(nodes)}
         for i, node in enumerate(nodes[1:], 1):
             pairs[labels[at[id(node.parent)]], labels[i]] += 1
