@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id string, size string, kept string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id string, size string, kept string, __tw_id string, __tw_own string"
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +21,7 @@ def odd(spark):
         (5, "", "en", "a"), (6, " \n\t ", "en", None), (7, "short", "en", "b"), (None, base, "en", "b"), (None, "no id here", None, "a"),
         (8, "word " * 30_000, "en", "hot"), (9, "É é <|end|>\n</s> ça", "fr", "a"), (10, base + "\n" + base, "en", "a"), (11, "É É", "fr", "z"),
     ]
-    return spark.createDataFrame([(i, t, lang, s, None, "x", "y", "z") for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, None, "x", "y", "z", "p", "q") for i, t, lang, s in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import check
@@ -34,10 +35,10 @@ def test_exact_sql(spark, sf_dir, duck):
     check(exact_dedup.op7_exact_dedup(spark, sf_dir), duck, exact_dedup.OP7_SQL)
 
 
-@pytest.mark.parametrize("levels", [1, 2])
-def test_exact_odd(odd, none, levels):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_exact_odd(odd, none, rounds):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    found = Counter(tuple(r) for r in exact_dedup.exact_groups(odd, radix=4, levels=levels).collect())
+    found = Counter(tuple(r) for r in exact_dedup.exact_groups(odd, rounds).collect())
     assert found == brute_exact(rows)
     assert exact_dedup.exact_groups(none).collect() == []
 
@@ -49,11 +50,42 @@ def test_exact_stage_keeps_one_row_each(odd):
     assert len(texts) == len(set(texts)) == len({(r.text or "").translate(LOWER) for r in odd.collect()})
 
 
+def test_exact_merges_sorted_runs_in_binomial_rounds(spark):
+    """Every round sorts by owner and digest, and hands an entry to the partner that differs in that round's bit."""
+    rng = random.Random(2)
+    entries = [(p, bytes([d]), rng.randrange(99), 0, 100 * p + d, 1, 7, 7, d % 8) for p in range(8) for d in rng.sample(range(60), 25)]
+    runs = spark.createDataFrame(entries, "owner int, digest binary, top_id bigint, top_mark bigint, top_row bigint, members bigint, n_bytes bigint, check bigint, home int")
+    for rounds in range(4):
+        level = exact_dedup.merged_runs(runs, rounds, 4)
+        plan = level._jdf.queryExecution().executedPlan().toString()
+        assert len([x for x in plan.split("Initial Plan")[-1].split("\n") if "Sort [owner#" in x and "digest#" in x]) == rounds
+        want = defaultdict(lambda: [0, (-1, -1)])
+        for p, d, i, _, row, n, _, _, home in entries:
+            low = (1 << rounds) - 1
+            entry = want[(p & ~low) | (home & low), d]
+            entry[0] += n
+            entry[1] = max(entry[1], (i, row))
+        found = {(r.owner, bytes(r.digest)): [r.members, (r.top_id, r.top_row)] for r in level.collect()}
+        assert found == dict(want)
+    assert len(found) == len({d for _, d, *_ in entries})
+
+
+def test_exact_stage_is_repeatable(spark):
+    """Rows that repeat an id and differ in case or other columns: the same one stays whatever the partitioning."""
+    rows = [(1, "Same text", "a"), (1, "same text", "b"), (1, "same text", "c"), (2, "x", "d"), (None, "x", "e"), (None, None, "f"), (None, "", "g"), (3, "", "h"), (3, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, size string")
+    kept = [sorted(map(tuple, exact_dedup.drop_exact_copies(docs.repartition(n)).collect()), key=str) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+
+
 def test_exact_different_texts_raise(spark):
     """Entries that share a digest but not the other checks are an error."""
     from pyspark.sql import functions as F
 
-    entries = spark.createDataFrame([(0, b"d", 1, 1, 5, 7, 0), (1, b"d", 2, 1, 6, 7, 0)], "owner int, digest binary, top_id bigint, members bigint, n_bytes bigint, check bigint, home int")
+    entries = spark.createDataFrame(
+        [(0, b"d", 1, 0, 0, 1, 5, 7, 0), (1, b"d", 2, 0, 1, 1, 6, 7, 0)],
+        "owner int, digest binary, top_id bigint, top_mark bigint, top_row bigint, members bigint, n_bytes bigint, check bigint, home int",
+    )
     with pytest.raises(Exception, match="different texts"):
         exact_dedup._merge(entries, F.lit(0), 2).collect()
 
@@ -119,6 +151,68 @@ def test_near_hot_groups(spark):
     assert found == brute_near(rows)
 
 
+def stock_families(seed, n, families=1, pool=40, own_words=40):
+    """Documents of shared stock paragraphs and own words, and copies of some at a similarity just above the threshold."""
+    rng = random.Random(seed)
+    rows, planted = [], []
+    for f in range(families):
+        paragraphs = [[f"s{f}p{k}w{rng.randrange(3000)}" for _ in range(20)] for k in range(pool)]
+        for i in range(n):
+            words = [w for p in rng.sample(paragraphs, 3) for w in p] + [f"o{f}d{i}x{rng.randrange(10**6)}" for _ in range(own_words)]
+            rows.append((f * 10**6 + i, " ".join(words)))
+            if i % 6 == 0:  # 88 of 97 + 11 shingles are shared: 0.815
+                copy = [*words[:-9], *(f"c{f}d{i}x{rng.randrange(10**6)}" for _ in range(9))]
+                rows.append((f * 10**6 + 500_000 + i, " ".join(copy)))
+                planted.append((rows[-2][0], rows[-1][0]))
+    return rows, planted
+
+
+def test_near_stock_paragraphs(spark):
+    """Buckets whose centre resembles neither of two similar members."""
+    rows, planted = stock_families(5, 500, families=2)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(docs).collect()}
+    assert len(planted) == 168 and all(found[a][1] == found[b][1] for a, b in planted)
+    assert found == brute_near(rows)
+
+
+@pytest.mark.parametrize("depth", [0, 1])
+def test_near_crowded_buckets(spark, monkeypatch, depth):
+    """Buckets of many documents that are alike but unlinked are dealt anew, or compared in blocks."""
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(6)
+    stock = [f"w{k}" for k in range(140)]
+    rows = []
+    for i in range(60):
+        words = stock + [f"d{i}x{k}" for k in range(24)]
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join([*words[:-3], *(f"c{i}x{k}" for k in range(3))])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(docs).collect()}
+    assert found == brute_near(rows)
+
+
+def test_near_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (9, c), (9, None)]
+    found = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True), (9, 9, True)]
+
+
+def test_shingle_hashes_have_no_algebraic_collisions():
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    for n in (512, 1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        one, two = shingles.shingle_sets(pa.array([f"x {word} y z", f"x {other} y z"]))
+        assert one.tolist() != two.tolist()
+
+
 def test_near_odd(odd, none):
     found = near_dedup.near_components(odd).collect()
     assert len(found) == odd.count()
@@ -147,7 +241,7 @@ def test_components_chain(spark):
 
 def test_shingles_equal_brute_force(documents):
     texts = [r.text for r in documents.collect()] + ["", " ", "a", "A b", "a b c d", "a  b\tc\nd e", "x y z w x y z w x", "É é É é"]
-    for text, found in zip(texts, shingles.shingle_sets(texts), strict=True):
+    for text, found in zip(texts, shingles.shingle_sets(pa.array(texts)), strict=True):
         assert len(found) == len(shingle_set(text))
 
 

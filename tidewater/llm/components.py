@@ -19,7 +19,8 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     while state[0]:
         # Large star: larger neighbours go to the smallest node around.
         both = now.unionByName(now.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("kind", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join reads two plain shuffles and Spark can split the edges of a hub.
+        least = materialise(both.groupBy("kind", "a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{label}-least")
         large = both.join(least, ["kind", "a"]).where("b > a").select("kind", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("kind", "a").agg(F.min("b").alias("m"))

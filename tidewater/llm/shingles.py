@@ -1,10 +1,16 @@
-"""Word shingles and SetSketch registers in numpy, for batches of texts."""
+"""Word shingles and SetSketch registers in numpy, for batches of texts.
+
+Words are hashed by XXH3 and mixed in one after the other, so that sequences of
+words have 64-bit hashes without algebraic collisions.
+"""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 4
 #: Registers: bands of ROWS values. A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**36 < 1e-6.
@@ -14,16 +20,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 
 _RNG = np.random.default_rng(20_240_601)
-_BYTE = _RNG.integers(0, 2**64, 256, np.uint64)
-for _c in range(65, 91):
-    _BYTE[_c] = _BYTE[_c + 32]  # A-Z hash like a-z
-_ODD = _RNG.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
-_P = int(_ODD[0])
-_P_INVERSE = pow(_P, -1, 2**64)
-_WORDS = _ODD[1 : 1 + SHINGLE]
+_ODD = _RNG.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = (_RNG.integers(0, 2**31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -32,56 +30,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of the byte hash's base and of its inverse, as far as a batch needs them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+def _chain(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of word sequences: every word is mixed in before the next one follows."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for word, odd in zip(words, _ODD):
+        out = _mix((out ^ word) * odd)
+    return out
 
-    def grow(self, n: int) -> None:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_P, m, 2**64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_P_INVERSE, m, 2**64))])
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, in order, and the number of words of each text; A-Z is lower-cased, words end at ASCII white space."""
+    from xxhash import xxh3_64_intdigest
 
-_POWERS = Powers()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, offsets = split.flatten(), split.offsets.to_numpy()
+    real = pc.binary_length(flat).to_numpy() > 0
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return hashes[coded.indices.to_numpy()], np.diff(np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]])
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text; A-Z is lower-cased, words end at ASCII white space.
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text.
 
     A text of one to three words has its whole word sequence as its one shingle,
     a text without words has none.
     """
-    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n" + b"\n".join(coded) + b"\n", np.uint8)
-    _POWERS.grow(len(data) + 1)
-    gap = _SPACE[data]
-    begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-    end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWERS.up[: len(data)], dtype=np.uint64)])
-    words = _mix((total[end] - total[begin]) * _POWERS.down[begin] + (end - begin).astype(np.uint64))
+    words, counts = word_hashes(texts)
     n = max(0, len(words) - SHINGLE + 1)
-    rolled = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        rolled += words[i : i + n] * _WORDS[i]
-    rolled = _mix(rolled)
-    edges = np.cumsum([1] + [len(c) + 1 for c in coded])
-    first = np.searchsorted(begin, edges)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            s = rolled[a : b - SHINGLE + 1].copy()
-            s.sort()
-            if len(s) > 1:
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            out.append(s)
-        elif b > a:
-            short = np.uint64(0)
-            for i in range(b - a):
-                short = short + words[a + i : a + i + 1] * _WORDS[i]
-            out.append(_mix(short + np.uint64(b - a)))
+    rolled = _chain([words[i : i + n] for i in range(SHINGLE)])
+    out, b = [], 0
+    for count in counts.tolist():
+        a, b = b, b + count
+        if count >= SHINGLE:
+            s = np.sort(rolled[a : b - SHINGLE + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif count:
+            out.append(_chain([words[i : i + 1] for i in range(a, b)]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -305,15 +305,3 @@ def slices(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
 def with_endings(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each document."""
     return np.insert(ids, bounds[1:], end_id).astype("<u4", copy=False), bounds + np.arange(len(bounds))
-
-
-def batches(texts, most_chars: int = 4_000_000):
-    """Slices of a list of texts with a bounded number of characters (one text at least)."""
-    begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and held + len(t) > most_chars:
-            yield begin, i
-            begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
