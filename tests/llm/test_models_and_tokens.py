@@ -391,6 +391,23 @@ def test_pipeline_stages(spark, documents, sf_dir):
 def test_pipeline_stages_take_odd_rows(spark, odd, none, sf_dir):
     import corpus_pipeline
 
-    for _, stage in corpus_pipeline.STAGES:
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).collect() == []
-        stage(spark, odd, sf_dir).collect()
+        kept[name] = stage(spark, odd, sf_dir)
+        if name != "packing":
+            assert kept[name].columns == odd.columns
+    rows = {name: [(r.doc_id, r.text) for r in df.collect()] for name, df in kept.items() if name != "packing"}
+    every = [(r.doc_id, r.text) for r in odd.collect()]
+    lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+    assert set(rows["toxicity"]) <= set(every) and {(4, None), (5, ""), (6, " \n\t ")} <= set(rows["toxicity"])
+    largest = {}
+    for i, t in every:
+        largest[lower(t)] = max(largest.get(lower(t), -1), -1 if i is None else i)
+    assert sorted((-1 if i is None else i, lower(t)) for i, t in rows["exact_dedup"]) == sorted((i, t) for t, i in largest.items())
+    # 1, 2, 3 and 10 are near copies (10 says the text twice: 17 of 20 shingles), and the rows of 2 repeat; nothing else goes.
+    gone = {2, 3, 10}
+    assert sorted(map(str, rows["near_dedup"])) == sorted(str(x) for x in every if x[0] not in gone)
+    times = Counter(i for i, _ in rows["mixing"])
+    assert not {4, 5, 6} & set(times) and set(rows["mixing"]) <= set(every)
+    assert kept["packing"].where("piece = 0").count() == len(every)

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import read, ship
+from tidewater.llm.base import boxed, read, ship, unboxed
 from tidewater.llm.tokens import slices
 
 SEGMENT = 4
@@ -353,8 +353,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     ``training`` has the labelled texts, if ``docs`` hasn't.
     """
     model = fit_toxicity(docs if training is None else training, labels)
-    scored = score_toxicity(docs, model, tuple(docs.columns))
-    return scored.where(F.col(SCORE) < threshold).drop(SCORE)
+    scored = score_toxicity(boxed(docs, "text"), model, ("__tw_doc",))
+    return unboxed(scored.where(F.col(SCORE) < threshold))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
