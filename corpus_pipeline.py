@@ -3,6 +3,15 @@
 Every stage takes what its predecessor kept and hands on documents with their
 columns; the last one returns the packed pieces. Between stages the rows are
 written to the shared folder and read again, so each stage starts from files.
+
+Defined cases: null, empty and blank texts have no toxic words and stay in the
+first stage; the empty and null ones are copies of each other for the second,
+blank ones of nothing else; none is a near duplicate; they have no words, so the
+mix takes none of them. Very long texts are never cut. Ties and repeated rows:
+of rows with equal texts that with the largest doc_id stays, a null doc_id being
+the smallest; rows without an id are no near duplicates; the mix takes rows that
+share an id equally often. Empty tables give empty tables. Columns of any name
+are handed on as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import materialise, read
+from tidewater.llm.base import boxed, materialise, read, unboxed
 from tidewater.llm.exact_dedup import drop_exact_copies
 from tidewater.llm.mixing import mix_sources
 from tidewater.llm.near_dedup import drop_near_copies
@@ -44,8 +53,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     # Rows that repeat an id have one number of times: that of all of them together, shared evenly.
     times = taken.groupBy("__tw_id").agg(F.round(F.avg("__tw_times")).cast("int").alias("__tw_times")).where("__tw_times > 0")
-    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__tw_id")))
-    return met.withColumn("__tw_n", F.explode(F.sequence(F.lit(1), F.col("__tw_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = boxed(docs, "doc_id").join(times, F.col("doc_id").eqNullSafe(F.col("__tw_id")))
+    return unboxed(met.withColumn("__tw_n", F.explode(F.sequence(F.lit(1), F.col("__tw_times")))))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
