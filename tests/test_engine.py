@@ -205,3 +205,29 @@ def test_recursive_distinct(spark, tmp_path):
     seed = spark.createDataFrame([(1,)], "x int")
     found = recursive_distinct(seed, lambda d: d.join(edges, d.x == edges.a).select(edges.b.alias("x")), store)
     assert sorted(r[0] for r in found.collect()) == [1, 2, 3]
+
+
+def test_grants_cannot_be_walked_round(engine):
+    """Views, event datasets, EXPLAIN, DESCRIBE and grants to oneself."""
+    engine.sql("CREATE MATERIALIZED VIEW hidden_nations AS SELECT n_name FROM nation")
+    engine.sql("CREATE EVENT DATASET hidden_ev FROM files.main.events ACTOR user_id TIME ts EVENT event_type TIEBREAK event_id")
+    engine.sql("CREATE USER bob")
+    engine.user = "bob"
+    try:
+        for text in (
+            "SELECT * FROM hidden_nations", "EXPLAIN SELECT * FROM nation", "DESCRIBE nation", "SHOW EVENTS FROM hidden_ev", "SEGMENT COUNT OF 'signup' ON hidden_ev DAILY",
+            "GRANT SELECT ON files TO bob", "CREATE MATERIALIZED VIEW mine AS SELECT * FROM nation", "DROP MATERIALIZED VIEW hidden_nations",
+        ):
+            with pytest.raises(EngineError, match="may not"):
+                engine.sql(text)
+    finally:
+        engine.user = "admin"
+    engine.sql("GRANT SELECT ON files.main.nation TO bob")
+    engine.user = "bob"
+    try:
+        assert engine.sql("SELECT * FROM hidden_nations").count() == 25 and engine.sql("DESCRIBE nation").count() == 3
+    finally:
+        engine.user = "admin"
+        engine.sql("DROP USER bob")
+        engine.sql("DROP MATERIALIZED VIEW hidden_nations")
+        engine.sql("DROP EVENT DATASET hidden_ev")

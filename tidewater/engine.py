@@ -48,7 +48,12 @@ class Engine:
             return self.query(text)
         first = items[0].upper
         if first in ("FUNNEL", "RETENTION", "SEGMENT", "PATHS"):
+            self._allowed(text)
             return self.datasets.run(event_spec.parse(text))
+        if first in ("CREATE", "DROP", "REFRESH", "REBUILD", "GRANT", "REVOKE") and self.user != "admin":
+            raise EngineError(f"user {self.user!r} may not {first.lower()}")
+        if first in ("EXPLAIN", "DESCRIBE", "SHOW"):
+            self._allowed(text)
         handler = {
             "EXPLAIN": self._explain, "SHOW": self._show, "DESCRIBE": self._describe, "SET": self._set, "RESET": self._reset,
             "CREATE": self._create, "DROP": self._drop, "REFRESH": self._refresh, "REBUILD": self._rebuild, "GRANT": self._grant, "REVOKE": self._grant,
@@ -62,11 +67,22 @@ class Engine:
         self._allowed(rewritten)
         return self.views.substitute(self.spark.sql(rewritten), bool(self.settings.get("views.substitution")))
 
+    def _reads(self, text: str) -> set[str]:
+        """Catalog tables that a statement reads, by name or through views and event datasets."""
+        found, seen, waiting = set(), set(), [text]
+        while waiting:
+            names = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", waiting.pop())} - seen
+            seen |= names
+            found |= names & set(self.catalog.views)
+            waiting += [self.views.entry(n)["sql"] for n in self.views.registry.names() if n in names]
+            waiting += [self.datasets.spec(n).source for n in self.datasets.registry.names() if n in names]
+        return found
+
     def _allowed(self, sql: str) -> None:
         if self.user == "admin":
             return
         mine = self.grants.get(self.user, set())
-        for table in self.views.sources(sql):
+        for table in sorted(self._reads(sql)):
             source = self.catalog.views[table][0].lower()
             if not mine & {table, source, f"{source}.{table}"}:
                 raise EngineError(f"user {self.user!r} may not read {table}")

@@ -36,10 +36,13 @@ class Registry:
             stream.write(bytearray(json.dumps(entries, default=str).encode()))
         finally:
             stream.close()
-        at = self._path(f"{self.folder}/registry.json")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(fresh, at)
+        # One rename puts the new registry in the old one's place, so there is one at any time.
+        gateway, jvm = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm
+        option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+        files.rename(fresh, self._path(f"{self.folder}/registry.json"), options)
 
     def new_path(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex}"
