@@ -118,14 +118,20 @@ def test_toxicity_starts_from_noise():
     assert order(trained) > 0.97 and 0.2 < order(noise) < 0.8
 
 
-def test_toxicity_fit_takes_2500_of_each_class(spark, monkeypatch):
+def test_toxicity_fit_takes_2500_of_each_class(spark):
     n = 10_000  # three quarters of them are learned from
     docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id) AS text")
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS int) AS toxic")
-    taken = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, y, prior: taken.extend(y))
-    toxicity.fit_toxicity(docs, labels)
-    assert Counter(taken) == {0: 2500, 1: 2500}
+    sample, prior = toxicity.labelled_sample(docs, labels)
+    assert Counter(r.toxic for r in sample.collect()) == {0: 2500, 1: 2500} and 0.4 < prior < 0.6
+
+
+def test_toxicity_trains_alike_in_a_task_and_on_the_driver(spark, documents, sf_dir):
+    sample, prior = toxicity.labelled_sample(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = sorted(sample.collect(), key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
+    here = toxicity.fit([r.text for r in rows], [r.toxic for r in rows], prior)
+    there = toxicity._fitted(sample, prior)
+    assert np.array_equal(here.margins, there.margins) and np.allclose(here.slopes, there.slopes) and here.floor == there.floor
 
 
 def test_toxicity_held_out(spark, documents, sf_dir, odd):

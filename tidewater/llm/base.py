@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +63,16 @@ def ship(spark: SparkSession) -> None:
     context._tidewater_shipped = True
 
 
+def release() -> None:
+    """Hand memory that is free again back to the system: a Python worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 

@@ -14,7 +14,8 @@ text is looked at.
 
 The fit uses a bounded sample: at most ``MAX_PER_CLASS`` labelled documents of
 each class (in a hash order), of at most ``MAX_CHARS`` characters each, and takes
-equal segments of a document once. Scoring is linear in a word's n-grams: each
+equal segments of a document once. It runs in one task, so the driver sees no text
+and a lost executor repeats it. Scoring is linear in a word's n-grams: each
 distinct word of a slice of texts is one number, and a worker remembers nothing.
 
 Defined cases: null or blank text has no segment and gets the score of a typical
@@ -24,9 +25,10 @@ texts under one id the fit takes one, by its hash; a very long text is a slice o
 its own; repeated rows are scored alike; other columns are never read.
 """
 
+import pickle
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import boxed, read, ship, unboxed
+from tidewater.llm.base import boxed, materialise, read, release, schema, ship, unboxed
 from tidewater.llm.tokens import slices
 
 SEGMENT = 4
@@ -316,6 +318,12 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
     """Fit on a bounded sample of the labelled, not held-out documents."""
+    sample, prior = labelled_sample(docs, labels, per_class)
+    return _fitted(materialise(sample, "toxicity-sample"), prior)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> tuple[DataFrame, float]:
+    """``doc_id, toxic, text`` of at most ``per_class`` documents of each class, and the share of label 1 among all labels."""
     known = labels.where("toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), "toxic").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
@@ -328,9 +336,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CL
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MAX_CHARS)
     # The sample has a fixed number of ids at most, and each gives one text: of an id's several texts that with the least hash.
     met = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "toxic")
-    rows = met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
-    rows = sorted(rows, key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
-    return fit([r[2] for r in rows], [r[1] for r in rows], prior)
+    return met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), prior
+
+
+def _fitted(sample: DataFrame, prior: float) -> Model:
+    """The model of the rows ``doc_id, toxic, text``, trained in one task that reads them all."""
+    ship(sample.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in parts for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        rows.sort(key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
+        made = pickle.dumps(astuple(fit([r[2] for r in rows], [r[1] for r in rows], prior)))
+        del rows
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
+
+    made = sample.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(run, schema("model binary")).first()
+    return Model(None, 0.0, None, 0.0, prior) if made is None else Model(*pickle.loads(made[0]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
