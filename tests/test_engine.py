@@ -231,3 +231,53 @@ def test_grants_cannot_be_walked_round(engine):
         engine.sql("DROP USER bob")
         engine.sql("DROP MATERIALIZED VIEW hidden_nations")
         engine.sql("DROP EVENT DATASET hidden_ev")
+
+
+def test_qualified_names(engine, spark, tmp_path):
+    """Two sources with a table of the same name: only qualified names reach them, also for grants and views."""
+    spark.createDataFrame([(0, "ELSEWHERE")], "r_regionkey int, r_name string").write.parquet(f"file://{tmp_path}/other/region.parquet")
+    assert engine.sql("SELECT region.r_name FROM files.main.region WHERE region.r_regionkey = 0").first()[0] == "AFRICA"
+    engine.catalog.add("other", "parquet", {"path": f"file://{tmp_path}/other"})
+    rows = engine.sql("SELECT a.r_name, b.r_name AS there FROM files.main.region a JOIN other.region b ON a.r_regionkey = b.r_regionkey").collect()
+    assert [tuple(r) for r in rows] == [("AFRICA", "ELSEWHERE")]
+    for text in ("SELECT * FROM region", "SELECT * FROM nation JOIN region ON true", "DESCRIBE region"):
+        with pytest.raises(EngineError, match="several sources"):
+            engine.sql(text)
+    assert engine.sql("WITH region AS (SELECT 1 AS x) SELECT x FROM region").first()[0] == 1
+    with pytest.raises(UnknownName):
+        engine.sql("SELECT * FROM other.main.nation")
+    engine.sql("CREATE MATERIALIZED VIEW away AS SELECT r_name FROM other.main.region")
+    assert engine.sql("REFRESH MATERIALIZED VIEW away").first()[0] == "skipped"
+    engine.sql("CREATE USER ann")
+    engine.sql("GRANT SELECT ON files.main.region TO ann")
+    engine.user = "ann"
+    try:
+        assert engine.sql("SELECT * FROM files.main.region").count() == 5
+        for text in ("SELECT * FROM other.region", "SELECT * FROM away", "DESCRIBE other.main.region", "EXPLAIN SELECT * FROM other.region"):
+            with pytest.raises(EngineError, match="may not"):
+                engine.sql(text)
+    finally:
+        engine.user = "admin"
+        engine.sql("DROP USER ann")
+        engine.sql("DROP MATERIALIZED VIEW away")
+    engine.sql("DROP DATASOURCE other")
+    assert engine.sql("SELECT * FROM region").count() == 5
+
+
+def test_recursive_union(engine):
+    rows = engine.sql("WITH RECURSIVE e(a, b) AS (SELECT * FROM (VALUES (1, 2), (2, 3), (3, 1), (4, NULL)) AS v(a, b)), r(x) AS (SELECT 1 UNION SELECT 4 UNION SELECT e.b FROM r JOIN e ON e.a = r.x) SELECT x FROM r")
+    assert sorted((r[0] for r in rows.collect()), key=str) == [1, 2, 3, 4, None]
+    with pytest.raises(UnsupportedSql):
+        engine.sql("WITH RECURSIVE r(x) AS (SELECT 1 UNION ALL SELECT 2 UNION SELECT x + 1 FROM r WHERE x < 5) SELECT x FROM r")
+
+
+def test_excluded_rows(engine):
+    value = "FROM (VALUES (1, 10), (2, 20), (2, NULL), (3, 40)) AS t(k, v) ORDER BY k, v"
+    one = lambda call: [r[0] for r in engine.sql(f"SELECT {call} AS s {value}").collect()]
+    assert one("avg(v) OVER (ORDER BY k, v ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW)") == [20.0, 10.0, 30.0, None]
+    assert one("sum(v) OVER (ORDER BY k GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES)") == [10, 30, 10, 60]
+    assert one("min(v) OVER (ORDER BY k GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING EXCLUDE GROUP)") == [20, 40, 40, None]
+    assert one("count(*) OVER (ORDER BY k ROWS CURRENT ROW EXCLUDE CURRENT ROW)") == [0, 0, 0, 0]
+    for bad in ("sum(v) OVER (ORDER BY k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES)", "sum(DISTINCT v) OVER (ORDER BY k ROWS CURRENT ROW EXCLUDE CURRENT ROW)"):
+        with pytest.raises(UnsupportedSql):
+            one(bad)

@@ -15,13 +15,13 @@ def test_query(spark, sf_dir, duck, key):
 
 
 def test_full_join_takes_whole_tables(spark, sf_dir):
-    rows = catalog.QUERIES["join_full_tables"](spark, sf_dir).collect()
+    rows = catalog.QUERIES["join_full"](spark, sf_dir).collect()
     for column, table in (("c_custkey", "customer"), ("o_orderkey", "orders")):
         keys = {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(column).collect()}
         assert {r[column] for r in rows} == keys | {None}
 
 
-@pytest.mark.parametrize(("key", "table"), [("order_by_all", "customer"), ("order_nulls_all", "nation"), ("orderby_subquery_all", "nation")])
+@pytest.mark.parametrize(("key", "table"), [("order_by", "customer"), ("order_nulls", "nation"), ("orderby_subquery", "nation")])
 def test_whole_table_in_order(spark, sf_dir, duck, key, table):
     rows = catalog.QUERIES[key](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()

@@ -29,7 +29,7 @@ class Engine:
         self.home = home or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidewater"
         self.catalog = Catalog(spark)
         self.settings = Settings(spark)
-        self.rewriter = Rewriter(spark)
+        self.rewriter = Rewriter(spark, self.catalog.view_of)
         self.views = Views(spark, Registry(spark, f"{self.home}/views"), self.catalog, self.rewriter)
         self.datasets = Datasets(
             spark, Registry(spark, f"{self.home}/events"), self.catalog, self.rewriter, lambda: self.settings.get("events.allow_unknown_names")
@@ -64,27 +64,36 @@ class Engine:
 
     def query(self, text: str) -> DataFrame:
         rewritten = self.rewriter.rewrite(text)
-        self._allowed(rewritten)
+        self._allowed(rewritten, resolved=True)
         return self.views.substitute(self.spark.sql(rewritten), bool(self.settings.get("views.substitution")))
 
-    def _reads(self, text: str) -> set[str]:
-        """Catalog tables that a statement reads, by name or through views and event datasets."""
+    def _reads(self, text: str, resolved: bool = False) -> set[str]:
+        """Catalog views that a statement reads, by name or through views and event datasets.
+
+        A name that several sources have stands for the tables of all of them,
+        unless the statement's names are ``resolved`` to views.
+        """
         found, seen, waiting = set(), set(), [text]
         while waiting:
             names = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", waiting.pop())} - seen
             seen |= names
             found |= names & set(self.catalog.views)
+            if not resolved:
+                found |= {self.catalog.own_name(*owner) for n in names & set(self.catalog.shared) for owner in self.catalog.owners(n)}
+            else:  # what follows is text of views and datasets
+                resolved, seen = False, seen - set(self.catalog.shared)
             waiting += [self.views.entry(n)["sql"] for n in self.views.registry.names() if n in names]
             waiting += [self.datasets.spec(n).source for n in self.datasets.registry.names() if n in names]
         return found
 
-    def _allowed(self, sql: str) -> None:
+    def _allowed(self, sql: str, resolved: bool = False) -> None:
         if self.user == "admin":
             return
         mine = self.grants.get(self.user, set())
-        for table in sorted(self._reads(sql)):
-            source = self.catalog.views[table][0].lower()
-            if not mine & {table, source, f"{source}.{table}"}:
+        for view in sorted(self._reads(sql, resolved)):
+            source, table = (x.lower() for x in self.catalog.views[view])
+            bare = set() if table in self.catalog.shared else {table}
+            if not mine & (bare | {source, f"{source}.{table}"}):
                 raise EngineError(f"user {self.user!r} may not read {table}")
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
@@ -116,7 +125,7 @@ class Engine:
         if words(rest, "DATASOURCES"):
             return self._rows([(s.name, type(s).__name__.removesuffix("Source").lower()) for s in self.catalog.sources.values()], "name string, kind string")
         if words(rest, "TABLES"):
-            return self._rows([(source, table) for source, table in sorted(self.catalog.views.values())], "datasource string, table_name string")
+            return self._rows([(source, table) for source, table in sorted(set(self.catalog.views.values()))], "datasource string, table_name string")
         if words(rest, "GRANTS"):
             return self._rows(sorted((u, o) for u, objects in self.grants.items() for o in objects), "user string, object string")
         if words(rest, "ALL") and len(rest) == 1:

@@ -14,6 +14,7 @@ from tidewater.operators import relational
 from tidewater.plans import event_queries
 from tidewater.plans.rewrite import Rewriter
 from tidewater.session import TABLES, prepare
+from tidewater.sources.sources import Catalog
 
 STATEMENTS: dict[str, tuple[str, str | None]] = {}
 
@@ -34,6 +35,8 @@ _q("values_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(
 _q("project_expr", "SELECT p_partkey, p_size * 2 + 1 AS s, round(p_retailprice * 1.1, 4) AS price, upper(p_brand) AS brand FROM part")
 _q("star_exclude", "SELECT * EXCLUDE (s_name) FROM supplier")
 _q("star_replace", "SELECT * REPLACE (upper(r_name) AS r_name) FROM region")
+_q("star_qualified", "SELECT n.* EXCLUDE (n_regionkey), r.* RENAME (r_name AS region) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
+   "SELECT n.n_nationkey, n.n_name, r.r_regionkey, r.r_name AS region FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
 _q("star_rename", "SELECT * RENAME (r_name AS region_name) FROM region", "SELECT r_regionkey, r_name AS region_name FROM region")
 _q("filter_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F' OR o_orderkey <= 7")
 _q("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND sum(o_totalprice) > 100000")
@@ -43,6 +46,7 @@ _q("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_total
 _q("derived_table", "SELECT t.k, t.total FROM (SELECT o_custkey, round(sum(o_totalprice), 2) FROM orders GROUP BY o_custkey) AS t(k, total) WHERE t.total > 1000000")
 _q("cte_shared", "WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) SELECT a.k, a.n, b.n AS m FROM c a JOIN c b ON a.k = b.k + 1")
 _q("cte_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 12) SELECT n, f FROM t")
+_q("cte_recursive_union", "WITH RECURSIVE r(k) AS (SELECT 1 UNION SELECT (k * 3 + 1) % 25 FROM r JOIN nation ON n_nationkey = k) SELECT r.k, n_name FROM r JOIN nation ON n_nationkey = r.k")
 _q("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (sum(l_quantity) FOR l_linestatus IN ('O' AS o_qty, 'F' AS f_qty))",
    "SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS o_qty, sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS f_qty FROM lineitem GROUP BY l_returnflag")
 # Expressions.
@@ -64,8 +68,7 @@ _q("date_interval", "SELECT o_orderkey, o_orderdate + INTERVAL '30' DAY AS a, o_
 _q("join_inner", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey")
 _q("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
 _q("join_right", "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'")
-_q("join_full", "SELECT s.s_suppkey, p.p_partkey FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 60) s FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 30 AND 90) p ON s.s_suppkey = p.p_partkey")
-_q("join_full_tables", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 AND o.o_totalprice > 150000")
+_q("join_full", "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 AND o.o_totalprice > 150000")
 _q("join_theta", "SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey AND n.n_nationkey % 5 <> r.r_regionkey")
 _q("join_cross", "SELECT n.n_name, r.r_name FROM nation n CROSS JOIN region r")
 _q("join_comma", "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
@@ -92,8 +95,7 @@ _q("scalar_limit1", "SELECT c_custkey, (SELECT o_orderkey FROM orders o WHERE o.
 _q("scalar_nonequi", "SELECT r_regionkey, (SELECT count(*) FROM nation n WHERE n.n_regionkey < r.r_regionkey) AS below FROM region r")
 _q("exists_or", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P') OR c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 _q("exists_flag", "SELECT p_partkey, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49) AS hit FROM part p")
-_q("orderby_subquery", "SELECT n_nationkey, n_name FROM nation n ORDER BY (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) DESC, n_nationkey LIMIT 10")
-_q("orderby_subquery_all", "SELECT n_nationkey, n_name FROM nation n ORDER BY (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) DESC, n_nationkey")
+_q("orderby_subquery", "SELECT n_nationkey, n_name FROM nation n ORDER BY (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) DESC, n_nationkey")
 _q("having_subquery", "SELECT o_custkey, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > (SELECT 15 * avg(o_totalprice) FROM orders)")
 _q("in_topn", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25)")
 _q("in_grouped", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 18)")
@@ -109,6 +111,7 @@ _q("stddev_variance", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS a, r
 _q("bool_aggs", "SELECT o_custkey, bool_and(o_totalprice > 20000) AS a, bool_or(o_orderstatus = 'P') AS b FROM orders GROUP BY o_custkey")
 _q("array_agg_sorted", "SELECT n_regionkey, array_join(sort_array(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey")
 _q("string_agg", "SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+_q("string_agg_distinct", "SELECT n_regionkey, CAST(length(string_agg(n_name, ', ')) AS BIGINT) AS a, CAST(length(string_agg(DISTINCT left(n_name, 1), '|')) AS BIGINT) AS b FROM nation GROUP BY n_regionkey")
 _q("percentile_cont", "SELECT l_returnflag, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS p FROM lineitem GROUP BY l_returnflag")
 _q("percentile_disc", "SELECT l_returnflag, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p FROM lineitem GROUP BY l_returnflag")
 _q("mode", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_custkey % 2) AS m FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, mode(o_custkey % 2) AS m FROM orders GROUP BY o_orderstatus")
@@ -128,15 +131,17 @@ _q("win_running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITIO
 _q("win_frame_rows", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s, l_partkey FROM lineitem")
 _q("win_frame_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '90' DAY PRECEDING AND CURRENT ROW) AS n FROM orders")
 _q("win_frame_groups", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM part")
+_q("win_exclude_rows", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS s, "
+   "max(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS m FROM part")
+_q("win_exclude_groups", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS BIGINT) AS g, "
+   "count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS t FROM part")
 _q("win_named", "SELECT c_custkey, rank() OVER w AS a, count(*) OVER (w) AS b FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS a, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS b FROM customer")
 _q("win_over_agg", "SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total FROM orders GROUP BY o_orderpriority, o_orderstatus")
 _q("topn_per_group", "SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) t WHERE rn <= 3")
 _q("win_percent", "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal), 9) AS a, round(cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal), 9) AS b, nth_value(c_custkey, 2) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS c FROM customer")
 # Order and limits.
-_q("order_by", "SELECT c_custkey, c_name AS who FROM customer ORDER BY c_nationkey DESC, 2, c_custkey LIMIT 40")
-_q("order_nulls", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC, n_nationkey LIMIT 9", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC NULLS FIRST, n_nationkey LIMIT 9")
-_q("order_by_all", "SELECT c_custkey, c_name AS who FROM customer ORDER BY c_nationkey DESC, 2, c_custkey")
-_q("order_nulls_all", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC, n_nationkey", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC NULLS FIRST, n_nationkey")
+_q("order_by", "SELECT c_custkey, c_name AS who FROM customer ORDER BY c_nationkey DESC, 2, c_custkey")
+_q("order_nulls", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC, n_nationkey", "SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation ORDER BY k DESC NULLS FIRST, n_nationkey")
 _q("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 30")
 _q("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 5 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 _q("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
@@ -176,8 +181,32 @@ def _statement(sql: str):
     return lambda spark, sf_dir: run_statement(spark, sf_dir, sql)
 
 
-QUERIES = {key: _statement(sql) for key, (sql, _) in STATEMENTS.items()}
-ORACLES = {key: oracle or sql for key, (sql, oracle) in STATEMENTS.items()}
+#: Statements over two sources, ``lake`` and ``store``, that have tables of the same names.
+FEDERATED = {
+    "qualified_names": (
+        "SELECT o.o_orderkey, customer.c_name FROM lake.main.orders o JOIN store.customer ON o.o_custkey = customer.c_custkey",
+        "SELECT o.o_orderkey, customer.c_name FROM orders o JOIN customer ON o.o_custkey = customer.c_custkey",
+    ),
+    "federated_same_names": (
+        "SELECT a.n_nationkey, b.n_name FROM lake.main.nation a JOIN store.main.nation b ON a.n_nationkey = b.n_regionkey",
+        "SELECT a.n_nationkey, b.n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_regionkey",
+    ),
+}
+
+
+def _federated(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        sources = Catalog(spark)
+        for name in ("lake", "store"):
+            sources.add(name, "parquet", {"path": sf_dir}, ["orders", "customer", "nation"])
+        return spark.sql(Rewriter(spark, sources.view_of).rewrite(sql))
+
+    return run
+
+
+QUERIES = {key: _statement(sql) for key, (sql, _) in STATEMENTS.items()} | {key: _federated(sql) for key, (sql, _) in FEDERATED.items()}
+ORACLES = {key: oracle or sql for key, (sql, oracle) in (STATEMENTS | FEDERATED).items()}
 for _part in (relational, event_queries):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,12 +107,18 @@ REFUSED_TYPES = ("array", "struct", "map", "binary", "variant")
 
 
 class Catalog:
-    """Named sources; each table is a temporary view under its own name and as source_table."""
+    """Named sources; each table is a temporary view of its source, and one under its bare name while no other source has that name."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.sources = spark, {}
         #: Lower-case view name to (source, table).
         self.views: dict[str, tuple[str, str]] = {}
+        #: Lower-case table names that several sources have, with those sources.
+        self.shared: dict[str, list[str]] = {}
+
+    @staticmethod
+    def own_name(source: str, table: str) -> str:
+        return f"__of_{source}__{table}".lower()
 
     def add(self, name: str, kind: str, options: dict, tables: list[str] | None = None) -> Source:
         if kind.lower() not in KINDS:
@@ -129,22 +136,59 @@ class Catalog:
         bad = [f.name for f in df.schema.fields if f.dataType.typeName() in REFUSED_TYPES]
         if bad and strict:
             raise EngineError(f"table {table}: unsupported type of column {bad[0]}")
-        df.createOrReplaceTempView(table)
-        self.views[table.lower()] = (source.name, table)
+        own = self.own_name(source.name, table)
+        df.createOrReplaceTempView(own)
+        self.views[own] = (source.name, table)
+        self._publish(table)
+
+    def owners(self, table: str) -> list[tuple[str, str]]:
+        return [v for k, v in self.views.items() if k == self.own_name(*v) and v[1].lower() == table.lower()]
+
+    def _publish(self, table: str) -> None:
+        """Give the bare name to the only source that has the table, or to none."""
+        name, owners = table.lower(), self.owners(table)
+        self.shared.pop(name, None)
+        if len(owners) == 1:
+            self.spark.table(self.own_name(*owners[0])).createOrReplaceTempView(table)
+            self.views[name] = owners[0]
+            return
+        if self.views.pop(name, None):
+            self.spark.catalog.dropTempView(table)
+        if owners:
+            self.shared[name] = [source for source, _ in owners]
 
     def drop(self, name: str) -> None:
         if name.lower() not in self.sources:
             raise unknown("data source", name, self.sources)
         source = self.sources.pop(name.lower())
-        for view, (owner, _) in list(self.views.items()):
-            if owner == source.name:
-                self.spark.catalog.dropTempView(view)
-                del self.views[view]
+        gone = [(view, table) for view, (owner, table) in self.views.items() if owner == source.name and view == self.own_name(owner, table)]
+        for view, table in gone:
+            self.spark.catalog.dropTempView(view)
+            del self.views[view]
+        for _, table in gone:
+            self._publish(table)
+
+    def view_of(self, parts: list[str]) -> str | None:
+        """The view of ``source.table`` or ``source.schema.table``; None for a name that is no source's. A bare name of several sources raises."""
+        if len(parts) == 1 and parts[0].lower() in self.shared:
+            raise EngineError(f"table {parts[0]!r} is in several sources: {', '.join(self.shared[parts[0].lower()])}; name one")
+        if len(parts) not in (2, 3) or parts[0].lower() not in self.sources:
+            return None
+        own = self.own_name(parts[0], parts[-1])
+        if own not in self.views:
+            raise unknown("table", parts[-1], [t for s, t in self.views.values() if s.lower() == parts[0].lower()])
+        return own
+
+    def named(self, text: str) -> list[str]:
+        """Views of the catalog's tables that a statement names, one per table."""
+        found = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text)} & set(self.views)
+        return sorted({self.views[v]: v for v in sorted(found)}.values())
 
     def resolve(self, path: str) -> DataFrame:
         """``table``, ``source.table`` or ``source.schema.table``."""
         parts = path.split(".")
         if len(parts) == 1:
+            self.view_of(parts)
             if parts[0].lower() not in self.views:
                 raise unknown("table", path, self.views)
             return self.spark.table(parts[0])
@@ -153,6 +197,8 @@ class Catalog:
         return self.sources[parts[0].lower()].read(self.spark, parts[-1])
 
     def token(self, registry, path: str) -> str | None:
-        name, table = self.views.get(path.split(".")[-1].lower(), (None, None))
+        parts = path.split(".")
+        view = (len(parts) > 1 and self.view_of(parts)) or parts[-1].lower()
+        name, table = self.views.get(view, (None, None))
         files = self.sources[name.lower()].path(table) if name and name.lower() in self.sources else None
         return registry.token(files) if files else None

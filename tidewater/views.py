@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +23,7 @@ class Views:
 
     def sources(self, sql: str) -> list[str]:
         """Catalog tables that the statement names."""
-        found = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", sql)}
-        return sorted(found & set(self.catalog.views))
+        return self.catalog.named(self.rewriter.rewrite(sql))
 
     def _tokens(self, sql: str) -> dict:
         return {t: self.catalog.token(self.registry, t) for t in self.sources(sql)}
