@@ -272,7 +272,7 @@ def test_recursive_union(engine):
 
 
 def test_excluded_rows(engine):
-    value = "FROM (VALUES (1, 10), (2, 20), (2, NULL), (3, 40)) AS t(k, v) ORDER BY k, v"
+    value = "FROM (SELECT * FROM (VALUES (1, 10), (2, 20), (2, NULL), (3, 40)) AS u(k, v)) AS t ORDER BY k, v"
     one = lambda call: [r[0] for r in engine.sql(f"SELECT {call} AS s {value}").collect()]
     assert one("avg(v) OVER (ORDER BY k, v ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW)") == [20.0, 10.0, 30.0, None]
     assert one("sum(v) OVER (ORDER BY k GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES)") == [10, 30, 10, 60]
