@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 
 from tests.conftest import check
 from tidewater.llm import components, exact_dedup, near_dedup, shingles
+from tidewater.llm.base import shared_dir, tasks_for
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -233,6 +235,30 @@ def test_near_copies_of_texts_that_share_an_id(spark):
     assert Counter((r.doc_id, r.text) for r in left) == Counter([(5, a), (3, b + " more"), (7, c), (7, d), (None, a), (None, a)])
 
 
+def test_near_tables_are_written_by_few_tasks(spark):
+    """However many partitions a shuffle has, a small table isn't written by all of them; links are the same."""
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(120)]
+    rows = [(3 * k + j, " ".join([*base[: 60 - j], *["tail"] * j])) for k, base in enumerate(bases) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "tidewater"
+    before = set(folder.glob("near-*"))
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r.component_id for r in near_dedup.near_components(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {p.name.rpartition("-")[0]: len(list(p.glob("part-*"))) for p in folder.glob("near-*") if p not in before}
+    assert {"near-members", "near-links", "near-torn", "near-parts-least", "near-nodes"} <= set(files)
+    assert max(files.values()) <= tasks_for(spark, len(rows), near_dedup.DOCS_A_TASK) == 4
+    assert found == {3 * k + j: 3 * k for k in range(len(bases)) for j in range(3)}
+    assert tasks_for(spark, 100_001, 10_000) == 11  # grows with the rows
+
+
 def test_components_chain(spark):
     edges = [(0, k, k + 1) for k in range(60)] + [(1, k, k + 2) for k in range(0, 40, 2)] + [(1, 101, 100)]
     found = components.connected(spark.createDataFrame(edges, "kind int, a bigint, b bigint")).collect()

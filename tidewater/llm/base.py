@@ -94,17 +94,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with replicated storage instead of executor-local blocks,
-    so a lost executor costs a re-read and not a recomputation.
+    so a lost executor costs a re-read and not a recomputation. ``tasks`` write
+    it at most: every file costs a task, its commit, and on local file systems
+    two processes forked by the executor to set permissions.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for ``rows`` rows at ``each``, and never less than there are cores; grows with the rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
