@@ -349,6 +349,30 @@ def test_plan_places_every_piece_once(seed):
     assert len(bins) <= 2 * -(-sum(k * n for k, n in counts.items()) // capacity)
 
 
+def test_packing_bounds_what_a_worker_holds(monkeypatch):
+    """Texts are encoded a megabyte at a time, freed memory goes back after each batch, and no id changes."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta,", "gamma.", "Délta"]) for _ in range(20_000)) for _ in range(30)]
+    sizes, freed, real = [], [], packing.encoder
+
+    class Spy:
+        def encode(self, part):
+            sizes.append(sum(len(t.encode()) for t in part.to_pylist()))
+            return real(packing.default_vocabulary(), False).encode(part)
+
+    monkeypatch.setattr(packing, "encoder", lambda *_: Spy())
+    monkeypatch.setattr(packing, "release", lambda collect: freed.append(collect))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 10)), pa.array(texts[k : k + 10])], ["doc_id", "text"]) for k in (0, 10, 20)]
+    found = [r for b in packing.cut_pieces(batches, "") for r in b.to_pylist()]
+    assert len(freed) == len(batches) and sum(sizes) > 2 << 20 and max(sizes) <= 1 << 20
+    plain = tokenizers.Tokenizer.from_file(packing.default_vocabulary())
+    want = []
+    for i, ids in enumerate(whole(plain, texts)):
+        ids = np.array([*ids, packing.END_ID], "<u4")
+        want += [(i, k, 4096 * k, len(ids[4096 * k : 4096 * k + 4096]), zlib.crc32(ids[4096 * k : 4096 * k + 4096].tobytes())) for k in range(-(-len(ids) // 4096))]
+    assert [tuple(r.values()) for r in found] == want
+
+
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_packing(request, name, none):
     docs = request.getfixturevalue(name)

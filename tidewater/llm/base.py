@@ -63,9 +63,10 @@ def ship(spark: SparkSession) -> None:
     context._tidewater_shipped = True
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Hand memory that is free again back to the system: a Python worker outlives its task."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.base import materialise, read, schema, ship, spread_prefix
+from tidewater.llm.base import materialise, read, release, schema, ship, spread_prefix
 from tidewater.llm.tokens import encoder, slices, with_endings
 
 CAPACITY = 4096
 END_ID = 1
 CELLS = 64
+#: Bytes of texts that are encoded at a time (one text at least).
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLAN = "length bigint, lo bigint, hi bigint, copies bigint, bin bigint, offset bigint"
 
@@ -45,32 +47,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def cut_pieces(parts, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID):
+    """Batches of the columns ``PIECES`` for Arrow batches of ``doc_id, text``."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in parts:
+        ids, texts = batch.column(0), batch.column(1)
+        for a, b in slices(texts, SLICE_BYTES):
+            found, bounds = with_endings(*encoder(vocabulary, False).encode(texts.slice(a, b - a)), end_id)
+            sizes = np.diff(bounds)
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(b - a), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[owner] - start)
+            at = bounds[:-1][owner] + start
+            raw = memoryview(found.tobytes())
+            checks = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+            columns = [ids.take(pa.array(owner + a)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks, pa.int64())]
+            del found, raw
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # What a batch frees lies between remembered pieces, and would add up to some 100 MB in a worker.
+        release(collect=False)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document: whole if it fits, else cut every ``capacity`` tokens."""
     ship(docs.sparkSession)
-
-    def cut(parts):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in parts:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, b in slices(texts):
-                found, bounds = with_endings(*encoder(vocabulary, False).encode(texts.slice(a, b - a)), end_id)
-                sizes = np.diff(bounds)
-                pieces = -(-sizes // capacity)
-                owner = np.repeat(np.arange(b - a), pieces)
-                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(capacity, sizes[owner] - start)
-                at = bounds[:-1][owner] + start
-                raw = memoryview(found.tobytes())
-                checks = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
-                columns = [ids.take(pa.array(owner + a)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
-
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(cut, schema(PIECES))
+    return own.mapInArrow(lambda parts: cut_pieces(parts, vocabulary, capacity, end_id), schema(PIECES))
 
 
 class _Bins:
