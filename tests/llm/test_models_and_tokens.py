@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewater.llm import html_extract, packing, token_files, toxicity
+from tidewater.llm import html_extract, packing, token_files, tokens, toxicity
 from tidewater.llm.tokens import PieceEncoder, slices
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -134,6 +134,35 @@ def test_toxicity_trains_alike_in_a_task_and_on_the_driver(spark, documents, sf_
     assert np.array_equal(here.margins, there.margins) and np.allclose(here.slopes, there.slopes) and here.floor == there.floor
 
 
+def test_toxicity_gives_up_what_a_worker_holds(monkeypatch):
+    """No vocabulary of an earlier task stays, and freed memory goes back after each column and each step of the fit."""
+    freed = []
+    monkeypatch.setattr(toxicity, "release", lambda collect=True: freed.append(dict(tokens._ENCODERS)))
+    model = toxicity.Model(np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS), 0.1, np.full(toxicity.TOP, 0.5), -1.0, 0.1)
+    columns = [toxicity.as_texts([" ".join([f"word{k} of column {i}"] * k) for k in range(5)]) for i in range(3)]
+    packing.encoder(packing.default_vocabulary(), False)
+    assert tokens._ENCODERS
+    found = [x.to_pylist() for x in toxicity.scored(model, iter(columns))]
+    assert freed == [{}] * len(columns) and found == [model.scores(c).tolist() for c in columns]
+
+    packing.encoder(packing.default_vocabulary(), False)
+    freed.clear()
+    rows = [(i, i % 2, f"the {'vermin' if i % 2 else 'river'} and stone number {i}") for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "toxic", "text"])
+    (made,) = toxicity.fitted_rows(iter([batch]), 0.5)
+    assert len(made) == 1 and len(freed) == 4 and not any(freed)
+
+
+def test_toxicity_sums_in_parts():
+    rng = np.random.default_rng(5)
+    values, sizes = rng.normal(0, 1, 50), rng.integers(1, 9, 23)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    picked = rng.integers(0, 50, at[-1])
+    want = np.add.reduceat(values[picked], at[:-1])
+    for at_once in (1, 7, 22, 23, 100):
+        assert (toxicity._sums(values, picked, at, at_once) == want).all()
+
+
 def test_toxicity_held_out(spark, documents, sf_dir, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(documents, labels)

@@ -291,6 +291,11 @@ def encoder(path: str, blank_joins: bool) -> PieceEncoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Give up the vocabulary and its pieces, in a worker that has turned to something else."""
+    _ENCODERS.clear()
+
+
 def slices(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a column of texts with a bounded number of bytes (one text at least)."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.base import boxed, materialise, read, release, schema, ship, unboxed
-from tidewater.llm.tokens import slices
+from tidewater.llm.tokens import forget, slices
 
 SEGMENT = 4
 LEAST_WORDS = 4
@@ -52,7 +52,8 @@ ROUNDS = 4
 LEADERS = 2
 CLEAN_SEGMENTS = 20_000
 CALIBRATION_SHARE = 4  # one labelled document in so many calibrates
-WORDS_AT_ONCE = 20_000  # distinct words whose n-grams are spelt out at a time
+WORDS_AT_ONCE = 5_000  # distinct words whose n-grams are spelt out at a time
+SEGMENTS_AT_ONCE = 50_000  # segments whose margins are found at a time
 FIRST_EPOCHS, RATE = 3, 0.5
 SCORE = "__tw_score"
 THRESHOLD = 0.3
@@ -152,15 +153,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _sums(values: np.ndarray, picked: np.ndarray, at: np.ndarray, at_once: int) -> np.ndarray:
+    """The sum of ``values[picked]`` between each two neighbours of ``at``; so many sums are spelt out at a time."""
+    out = [np.zeros(0, values.dtype)]
+    for k in range(0, len(at) - 1, at_once):
+        ends = at[k : k + at_once + 1]
+        out.append(np.add.reduceat(values[picked[ends[0] : ends[-1]]], ends[:-1] - ends[0]))
+    return np.concatenate(out)
+
+
 class _Bags:
     """Segments as word numbers, words as n-gram buckets; only a batch is ever spelt out."""
 
     def __init__(self, vocabulary: list[str], words: np.ndarray, sizes: np.ndarray):
         grams, counts = [], []
-        for k in range(0, len(vocabulary), 20_000):
-            ids, owners = gram_ids(vocabulary[k : k + 20_000])
+        for k in range(0, len(vocabulary), WORDS_AT_ONCE):
+            ids, owners = gram_ids(vocabulary[k : k + WORDS_AT_ONCE])
             grams.append(ids[np.argsort(owners, kind="stable")].astype(np.int32))
-            counts.append(np.bincount(owners, minlength=min(20_000, len(vocabulary) - k)))
+            counts.append(np.bincount(owners, minlength=min(WORDS_AT_ONCE, len(vocabulary) - k)))
         self.grams = np.concatenate(grams)
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         self.sizes, self.words = sizes, words
@@ -177,8 +187,8 @@ class _Bags:
     def margins(self, table: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> np.ndarray:
         """Every segment's margin."""
         u = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-        per_word = np.add.reduceat(u[self.grams], self.at[:-1]) / np.diff(self.at)
-        return np.add.reduceat(per_word[self.words], self.begin[:-1]) / np.maximum(self.sizes, LEAST_WORDS) + (bias[1] - bias[0])
+        per_word = _sums(u, self.grams, self.at, WORDS_AT_ONCE) / np.diff(self.at)
+        return _sums(per_word, self.words, self.begin, SEGMENTS_AT_ONCE) / np.maximum(self.sizes, LEAST_WORDS) + (bias[1] - bias[0])
 
 
 def _train(bags: _Bags, pick: np.ndarray, labels: np.ndarray, state, rng, epochs: int, rate: float):
@@ -273,8 +283,12 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Mod
     clean = np.flatnonzero(seg_label == 0)
     if not len(clean) or len(clean) == len(seg_label):
         return nothing
-    bags = _Bags(words.distinct, numbers, sizes)
+    vocabulary = words.distinct
     del words
+    release()  # else each step runs beside what the one before has freed
+    bags = _Bags(vocabulary, numbers, sizes)
+    del vocabulary
+    release()
     # From noise: embeddings and softmax learn everything together.
     table = rng.normal(0, 0.05, (BUCKETS, DIM))
     soft = rng.normal(0, 0.5, (DIM, 2))
@@ -339,31 +353,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER
     return met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), prior
 
 
+def fitted_rows(parts: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows; the worker gives up the vocabulary of an earlier task."""
+    forget()
+    release()
+    rows = [r for batch in parts for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    rows.sort(key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
+    made = pickle.dumps(astuple(fit([r[2] for r in rows], [r[1] for r in rows], prior)))
+    del rows
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
+
+
 def _fitted(sample: DataFrame, prior: float) -> Model:
     """The model of the rows ``doc_id, toxic, text``, trained in one task that reads them all."""
     ship(sample.sparkSession)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in parts for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-        rows.sort(key=lambda r: ((r[0] * 2654435761) % 2**32, r[0], r[1]))
-        made = pickle.dumps(astuple(fit([r[2] for r in rows], [r[1] for r in rows], prior)))
-        del rows
-        release()
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
-
-    made = sample.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(run, schema("model binary")).first()
+    made = sample.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(lambda parts: fitted_rows(parts, prior), schema("model binary")).first()
     return Model(None, 0.0, None, 0.0, prior) if made is None else Model(*pickle.loads(made[0]))
 
 
+def scored(model: Model, parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The scores of columns of texts; the worker gives up the vocabulary of an earlier task and what each column frees."""
+    forget()
+    for texts in parts:
+        yield pa.array(model.scores(texts), pa.float64())
+        del texts
+        release(collect=False)
+
+
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``score``: one row per input row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.margins, model.bias, model.slopes, model.shift, model.prior, model.floor))
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Model(*shared.value)
-        for texts in parts:
-            yield pa.array(own.scores(texts), pa.float64())
+        return scored(Model(*shared.value), parts)
 
     score = F.arrow_udf(run, "double")
     return docs.select(*[F.col(f"`{c}`") for c in keep], score(F.coalesce("text", F.lit(""))).alias(SCORE))
