@@ -28,6 +28,37 @@ def test_whole_table_in_order(spark, sf_dir, duck, key, table):
     assert [[plain(v) for v in r] for r in rows] == [[plain(v) for v in r] for r in duck.execute(catalog.ORACLES[key]).fetchall()]
 
 
+def row_numbers(df) -> list[str]:
+    """The windows of a plan that number rows."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number() windowspecdefinition(" in x]
+
+
+@pytest.mark.parametrize("key", ["join_lateral"])
+def test_correlated_limit_is_ordered(spark, sf_dir, key):
+    """Rows are numbered by the keys, not in the order in which a shuffle or a spilled sort brings them."""
+    found = row_numbers(catalog.QUERIES[key](spark, sf_dir))
+    assert found and all("DESC NULLS FIRST" in x and "ASC NULLS LAST" in x for x in found)
+
+
+@pytest.mark.parametrize(
+    "select",
+    [
+        "o_orderkey FROM {} ORDER BY o_totalprice DESC, o_orderkey LIMIT 3", "o_orderkey FROM {} ORDER BY o_totalprice DESC, o_orderkey OFFSET 2",
+        "o_orderkey AS k, -o_totalprice v FROM {} ORDER BY abs(v) + 1, k LIMIT 3", "o.o_orderkey FROM {} ORDER BY o.o_totalprice, o.o_orderkey FETCH FIRST 1 ROW ONLY",
+        "o_orderpriority AS p FROM {} GROUP BY o_orderpriority ORDER BY sum(o_totalprice) DESC, p LIMIT 2",
+        "EXTRACT(YEAR FROM o_orderdate) AS year FROM {} ORDER BY EXTRACT(YEAR FROM o_orderdate), o_totalprice, o_orderkey LIMIT 2",
+        "sum(v) AS s FROM (SELECT o_totalprice AS v FROM {} ORDER BY o_orderdate DESC, o_orderkey LIMIT 3) AS t",
+    ],
+)
+def test_forms_of_correlated_limits(spark, sf_dir, duck, select):
+    inner = select.format("orders o WHERE o_custkey = c.c_custkey")
+    sql = f"SELECT c.c_custkey, t.* FROM customer c JOIN LATERAL (SELECT {inner}) t ON TRUE"
+    df = catalog.run_statement(spark, sf_dir, sql)
+    found = row_numbers(df)
+    assert found and all(" ASC NULLS " in x or " DESC NULLS " in x for x in found)
+    check(df, duck, sql)
+
+
 @pytest.mark.parametrize(("broken", "column"), [("lineitem", "share"), ("(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)", "inside")])
 def test_sample_cases_find_broken_samplers(spark, sf_dir, broken, column):
     sql = relational.SAMPLE_CASES.replace("lineitem TABLESAMPLE BERNOULLI (10)", broken)
