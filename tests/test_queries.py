@@ -33,7 +33,7 @@ def row_numbers(df) -> list[str]:
     return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number() windowspecdefinition(" in x]
 
 
-@pytest.mark.parametrize("key", ["join_lateral"])
+@pytest.mark.parametrize("key", ["join_lateral", "scalar_limit1"])
 def test_correlated_limit_is_ordered(spark, sf_dir, key):
     """Rows are numbered by the keys, not in the order in which a shuffle or a spilled sort brings them."""
     found = row_numbers(catalog.QUERIES[key](spark, sf_dir))
