@@ -59,6 +59,50 @@ def test_forms_of_correlated_limits(spark, sf_dir, duck, select):
     check(df, duck, sql)
 
 
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", ["all_quantifier"])
+def test_quantifier_joins_no_pairs(spark, sf_dir, key):
+    assert "NestedLoop" not in physical(catalog.QUERIES[key](spark, sf_dir))
+
+
+@pytest.mark.parametrize("quantifier", ["ANY", "ALL"])
+@pytest.mark.parametrize("op", ["=", "<>", "<", "<=", ">", ">="])
+def test_quantifiers_of_whole_subqueries(spark, sf_dir, duck, op, quantifier):
+    """Text, numbers of two types, no rows, NULLs on both sides."""
+    for left, right in (
+        ("n_name", "SELECT s FROM (VALUES ('FRANCE'), ('CHINA')) AS t(s)"), ("n_name", "SELECT nullif(n_name, 'CHINA') FROM nation WHERE n_regionkey = 2"),
+        ("nullif(n_regionkey, 2)", "SELECT r_regionkey * 1.5 FROM region WHERE r_regionkey BETWEEN 1 AND 2"), ("nullif(n_regionkey, 2)", "SELECT r_regionkey FROM region WHERE r_regionkey > 99"),
+    ):
+        sql = f"SELECT n_nationkey, {left} {op} {quantifier} ({right}) AS r FROM nation"
+        df = catalog.run_statement(spark, sf_dir, sql)
+        assert "NestedLoop" not in physical(df)
+        check(df, duck, sql)
+
+
+def test_quantifier_compares_in_the_common_type(spark, sf_dir):
+    """Text against a number compares as numbers, whose least is not the least text."""
+    sql = "SELECT 10 > ANY (SELECT s FROM (VALUES ('9'), ('100')) AS t(s)) AS a, 10 <= ALL (SELECT s FROM (VALUES ('9'), ('100')) AS t(s)) AS b FROM region"
+    assert {tuple(r) for r in catalog.run_statement(spark, sf_dir, sql).collect()} == {(True, False)}
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT n_nationkey, n_nationkey <= ALL (SELECT r_regionkey FROM region WHERE r_regionkey > n_regionkey) AS r FROM nation",
+        "WITH region AS (SELECT n_name AS r_regionkey FROM nation WHERE n_nationkey > 5) SELECT n_name FROM nation WHERE n_name < ANY (SELECT r_regionkey FROM region)",
+        "WITH a AS (SELECT r_regionkey AS k FROM region), b AS (SELECT n_nationkey FROM nation WHERE n_nationkey > ALL (SELECT k FROM a)) SELECT n_nationkey FROM b WHERE n_nationkey < ANY (SELECT max(n_nationkey) FROM b)",
+        "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) >= ALL (SELECT avg(o_totalprice) * 12 FROM orders)",
+        "SELECT n.n_nationkey, r.r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > ANY (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
+        "SELECT n_nationkey FROM nation WHERE n_nationkey > ANY (SELECT r_regionkey FROM region WHERE r_regionkey >= ALL (SELECT n_regionkey FROM nation WHERE n_nationkey < 9))",
+    ],
+)
+def test_places_of_quantifiers(spark, sf_dir, duck, sql):
+    check(catalog.run_statement(spark, sf_dir, sql), duck, sql)
+
+
 @pytest.mark.parametrize(("broken", "column"), [("lineitem", "share"), ("(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)", "inside")])
 def test_sample_cases_find_broken_samplers(spark, sf_dir, broken, column):
     sql = relational.SAMPLE_CASES.replace("lineitem TABLESAMPLE BERNOULLI (10)", broken)
