@@ -63,7 +63,7 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", ["all_quantifier"])
+@pytest.mark.parametrize("key", ["all_quantifier", "any_quantifier", "any_null"])
 def test_quantifier_joins_no_pairs(spark, sf_dir, key):
     assert "NestedLoop" not in physical(catalog.QUERIES[key](spark, sf_dir))
 
