@@ -86,6 +86,8 @@ def test_quantifier_compares_in_the_common_type(spark, sf_dir):
     """Text against a number compares as numbers, whose least is not the least text."""
     sql = "SELECT 10 > ANY (SELECT s FROM (VALUES ('9'), ('100')) AS t(s)) AS a, 10 <= ALL (SELECT s FROM (VALUES ('9'), ('100')) AS t(s)) AS b FROM region"
     assert {tuple(r) for r in catalog.run_statement(spark, sf_dir, sql).collect()} == {(True, False)}
+    sql = "SELECT n_name > ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS a, n_name <= ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS b FROM nation"
+    assert {tuple(r) for r in catalog.run_statement(spark, sf_dir, sql).collect()} == {(False, True)}
 
 
 @pytest.mark.parametrize(
